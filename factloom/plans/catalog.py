@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from factloom.plans import structure
+
+MODULES = [structure]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
