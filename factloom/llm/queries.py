@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import spans
+from factloom.llm import pieces, spans
 from factloom.runtime import table
 
 
+P2_FOUND = r"""
+select id as source_id, case when max(regexp_matches(text, '[^ \t\r\n]{8193}') or list_max(list_transform(string_split_regex(text, '[ \t\r\n]'), x -> strlen(x))) > 8192) then 'forced' else 'natural' end as boundary
+from sources where id is not null and strlen(text) > 8192 group by id
+"""
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "sources"))
 
@@ -18,9 +24,17 @@ def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_summary(table(spark, sf_dir, "sources"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.boundary_kind(table(spark, sf_dir, "sources"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_oversized(table(spark, sf_dir, "sources"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_summary": p1_summary}
+    return {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_FOUND}
