@@ -5,12 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import drift
+from factloom.operators import drift, hierarchy
 from factloom.runtime import table
 
 MANIFEST_COLUMNS = ["schema", "id", "parent", "ordinal", "inputDigest", "released", "documentationLanguage", "evidencePackages", "files"]
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = hierarchy.nodes(table(spark, sf_dir, "publications"), "PUBLICATION", "id", "parent", "loaded_at")
+    return hierarchy.link(both.unionByName(hierarchy.nodes(table(spark, sf_dir, "contexts"), "CONTEXT", "context_id", "parent_context_id", "loaded_at")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.separate(_records(spark, sf_dir)).select(F.col("kind").alias("record_kind"), F.col("id").alias("node_id"), "cycle_key")
+
+
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _records(spark, sf_dir)
+    return hierarchy.decompose(links, hierarchy.separate(links))
+
+
+def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.report(_full(spark, sf_dir))
+
+
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = _full(spark, sf_dir)
+    pairs = hierarchy.ancestors(full).where("distance > 0").join(full.select("v", "kind", "id"), "v")
+    return pairs.select(F.col("kind").alias("record_kind"), F.col("a_id").alias("node_id"), F.col("id").alias("descendant_id"), "distance")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "publication_manifests"))
 
@@ -21,5 +45,5 @@ def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("released", F.when(flag.isin("true", "1", "yes"), True).when(flag.isin("false", "0", "no"), False)).withColumn("ordinal", F.expr("try_cast(ordinal as bigint)"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_unified": p4_unified}
+QUERIES = {"p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_unified": p4_unified}
 SQL: dict[str, str] = {}
