@@ -11,8 +11,8 @@ from factloom.runtime import table
 
 
 P2_FOUND = r"""
-select id as source_id, case when max(regexp_matches(text, '[^ \t\r\n]{8193}') or list_max(list_transform(string_split_regex(text, '[ \t\r\n]'), x -> strlen(x))) > 8192) then 'forced' else 'natural' end as boundary
-from sources where id is not null and strlen(text) > 8192 group by id
+with parts as (select id, unnest(string_split_regex(text, '[ \t\r\n]')) as part from sources where id is not null and strlen(text) > 8192)
+select id as source_id, case when max(strlen(part)) > 8192 then 'forced' else 'natural' end as boundary from parts group by id
 """
 
 
