@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import drift, hierarchy
+from factloom.operators import drift, hierarchy, nested
 from factloom.runtime import table
 
 MANIFEST_COLUMNS = ["schema", "id", "parent", "ordinal", "inputDigest", "released", "documentationLanguage", "evidencePackages", "files"]
@@ -45,5 +45,26 @@ def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("released", F.when(flag.isin("true", "1", "yes"), True).when(flag.isin("false", "0", "no"), False)).withColumn("ordinal", F.expr("try_cast(ordinal as bigint)"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_unified": p4_unified}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.links(nested.relations(table(spark, sf_dir, "work_records"), "record_id"))
+
+
+def p5_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.table_of(nested.relations(table(spark, sf_dir, "work_records"), "record_id"), "fragment", ["id", "subject", "text"])
+
+
+def p5_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = nested.relations(table(spark, sf_dir, "work_records"), "record_id")
+    names = ["id", "textDigest", "occurrence.snapshot", "occurrence.startByte", "occurrence.endByte", "occurrence.generatedOrigin"]
+    out = nested.table_of(rows, "source", names)
+    return out.withColumnsRenamed({n: n.replace(".", "_") for n in names})
+
+
+def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and records of each table of the work records."""
+    rows = nested.relations(table(spark, sf_dir, "work_records"), "record_id")
+    return rows.groupBy("table_name", "parent_table").agg(F.count("*").alias("n_rows"), F.count_distinct("record_id").alias("n_records"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_fragments": p5_fragments, "p5_sources": p5_sources, "p5_tables": p5_tables, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_unified": p4_unified}
 SQL: dict[str, str] = {}
