@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import pieces, spans
+from factloom.llm import packing, pieces, spans
 from factloom.runtime import table
 
 
@@ -32,8 +32,16 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "sources"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces}
+    return {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill}
 
 
 def oracle_sql() -> dict[str, str]:
