@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import packing, pieces, spans
+from factloom.llm import leaks, packing, pieces, spans
 from factloom.runtime import table
 
 
@@ -40,8 +40,16 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, sf_dir))
 
 
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_report(spark, sf_dir).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill}
+    return {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report}
 
 
 def oracle_sql() -> dict[str, str]:
