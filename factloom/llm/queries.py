@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import leaks, packing, pieces, spans
+from factloom.llm import leaks, packing, pieces, prose, spans
 from factloom.runtime import table
 
 
@@ -48,8 +48,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_report(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.text_stats(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_stats(spark, sf_dir).where("not is_prose").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report}
+    return {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_stats": p8_stats}
 
 
 def oracle_sql() -> dict[str, str]:
