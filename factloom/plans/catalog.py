@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import structure
+from factloom.plans import index, structure
 
-MODULES = [structure]
+MODULES = [index, structure]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
