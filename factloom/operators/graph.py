@@ -61,7 +61,7 @@ def plan_update(parent: DataFrame, current: DataFrame, edges: DataFrame, path: s
 
 def outcome_masks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, mask): for each node the bits of the outcomes (node, bit) it can reach."""
-    mask = seeds.groupBy("node").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
+    mask = seeds.groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("mask"))
     mask = stage(mask, "mask")
     front = mask
     back = edges.select(F.col("target").alias("node"), F.col("source").alias("caller"))

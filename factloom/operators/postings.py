@@ -103,14 +103,14 @@ def fair_selection(hits: DataFrame, limit: int = PER_CONTEXT) -> DataFrame:
     Each lane gives its first ``limit`` facts at most, as no more of it can be
     chosen, so the fold gets limit x QUERY_TERMS rows however large the index.
     """
-    lanes = diversify(hits).where(F.col("place") <= limit).select("term", "fact_key", "place")
+    lanes = diversify(hits).where(F.col("place") <= limit).select("term", "fact_key", "place", F.lit(1).alias("query"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["term", "place"])
         chosen = fair([g["fact_key"].tolist() for _, g in pdf.groupby("term", sort=True)], limit)
         return pd.DataFrame({"fact_key": chosen, "position": range(1, len(chosen) + 1)})
 
-    return lanes.groupBy(F.lit(0)).applyInPandas(fold, "fact_key string, position long")
+    return lanes.groupBy("query").applyInPandas(fold, "fact_key string, position long")
 
 
 def check_index(index: DataFrame, per_term: int = PER_TERM) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import index, structure
+from factloom.plans import evidence, graphs, index, structure
 
-MODULES = [index, structure]
+MODULES = [index, evidence, graphs, structure]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
