@@ -223,9 +223,16 @@ def schema_of(df: DataFrame, body: str = "body") -> Schema:
     return analyse([tuple(e) for e in edges])
 
 
-def relations(df: DataFrame, key: str, body: str = "body", loaded: str = "loaded_at") -> DataFrame:
-    """Rows of all tables (ROW_DDL), staged; ``table_of`` gives one of them with its columns."""
-    tables = set(schema_of(df, body).tables)
+#: Types of the documentation records that may repeat, whether they do so in a table or not.
+LINK_TABLES = ("fragment", "sourceId", "dependencyId", "source")
+
+
+def relations(df: DataFrame, key: str, body: str = "body", loaded: str = "loaded_at", declared: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of all tables (ROW_DDL), staged; ``table_of`` gives one of them with its columns.
+
+    ``declared`` types get a table even if the schema graph does not ask for one.
+    """
+    tables = set(schema_of(df, body).tables) | set(declared)
     return stage(_bodies(df, key, body, loaded).mapInArrow(_row_batches(tables), ROW_DDL), "relations")
 
 
@@ -240,7 +247,7 @@ def _digits(c: Column) -> Column:
 
 def links(rows: DataFrame) -> DataFrame:
     """(record_id, parent_id, link, child_id) of the documentation records: nested fragments, their source
-    and dependency ids, and the start bytes of sources; distinct rows."""
+    and dependency ids, and the start bytes of sources; distinct rows.  ``rows`` come from ``relations`` with LINK_TABLES."""
     named = F.coalesce(F.element_at("cols", "id"), F.element_at("cols", VALUE)).alias("name")
     entry = rows.select("record_id", "row_no", "table_name", "parent_table", "parent_row", named, F.coalesce(F.element_at("cols", "occurrence.startByte"), F.lit(None)).alias("start"))
     parent = entry.where("table_name = 'fragment'").select(F.col("record_id").alias("p_record"), F.col("row_no").alias("p_row"), F.col("name").alias("p_name"))
