@@ -34,7 +34,9 @@ from factloom.runtime import stage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to this vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CAPACITY, GROUPS, LARGE_SHARE = 2048, 64, 8
+#: Numbers of groups that are tried; the plan with the fewest containers is taken.
+GROUPS = (16, 64)
+CAPACITY, LARGE_SHARE = 2048, 8
 PLAN_LIMIT = 500_000
 _encoders: dict[str, object] = {}
 
@@ -116,7 +118,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(basis[:, r].astype(int), int(whole[r])) for r in range(n) if whole[r] > 0]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_share: int = LARGE_SHARE) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64, large_share: int = LARGE_SHARE) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Ranges (size, first number, how many, first container, how many to a container), and the number of containers."""
     left = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
     taken: dict[int, int] = defaultdict(int)
@@ -219,13 +221,13 @@ def _placer(ranges: list[tuple[int, int, int, int, int]]):
     return run
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, groups: int = GROUPS) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """(id, part, start_token, n_tokens, container_id): every text, or each part of one above the capacity, with its container."""
     counts = token_counts(df, id_col, text_col, tokenizer)
     return pack_sizes(counts, capacity, groups).withColumnRenamed("id", id_col)
 
 
-def pack_sizes(counts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack_sizes(counts: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """As ``pack`` for rows (id, n_tokens)."""
     if capacity < 1:
         raise ValueError("the capacity must be positive")
@@ -234,7 +236,7 @@ def pack_sizes(counts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS
     parts = parts.select("id", "part", "start", F.least(F.col("n_tokens") - F.col("start"), F.lit(capacity)).cast("long").alias("size"))
     items = stage(number_within(parts, ["size"], ["id", "part"], "number"), "sizes")
     histogram = {r["size"]: r["n"] for r in items.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    ranges, _ = plan(histogram, capacity, groups)
+    ranges, _ = min((plan(histogram, capacity, g) for g in groups), key=lambda p: p[1])
     some = items.where("size > 0")
     if len(ranges) <= PLAN_LIMIT:
         placed = some.mapInArrow(_placer(ranges), f"id {items.schema['id'].dataType.simpleString()}, part int, start long, size long, container long")
