@@ -109,3 +109,28 @@ def facet(relations: DataFrame, ids: DataFrame, side: str) -> DataFrame:
     hits = relations.join(ids.select(F.col("id").alias(end)).distinct(), end, "left_semi").select("source", "target", "kind", F.lit("SUPPORTED").alias("status"))
     empty = hits.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("kind"), F.lit("UNSUPPORTED").alias("status"))
     return hits.unionByName(empty)
+
+
+def selector_status(endpoints: DataFrame, observations: DataFrame, key: list[str]) -> DataFrame:
+    """(endpoint, status): INCOMPLETE without a selector, MISSING, AMBIGUOUS, SOURCE_UNAVAILABLE, SOURCE_MATCH (syntax only) or RESOLVED.
+
+    endpoints: endpoint, selected (boolean), key columns; observations: key columns, has_source, syntax.
+    """
+    per = observations.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.col("has_source").cast("int")).alias("src"), F.max(F.col("syntax").cast("int")).alias("syn"))
+    out = endpoints.join(per, key, "left")
+    status = (
+        F.when(~F.col("selected"), "INCOMPLETE").when(F.col("n").isNull(), "MISSING").when(F.col("n") > 1, "AMBIGUOUS").when(F.col("src") == 0, "SOURCE_UNAVAILABLE").when(F.col("syn") == 1, "SOURCE_MATCH").otherwise("RESOLVED")
+    )
+    return out.select("endpoint", status.alias("status"))
+
+
+def entity_dependencies(entities: DataFrame, observations: DataFrame, entity: str, ids: str, obs_id: str, sources: str) -> DataFrame:
+    """(entity, missing, source_ids): dependencies that are not there, and the sources of those that are."""
+    named = entities.select(entity, F.explode_outer(ids).alias("dep")).distinct()
+    known = observations.select(F.col(obs_id).alias("dep"), F.col(sources).alias("_s"), F.lit(True).alias("known"))
+    per = named.join(known, "dep", "left")
+    empty = F.array().cast("array<string>")
+    return per.groupBy(entity).agg(
+        F.array_sort(F.collect_set(F.when(F.col("dep").isNotNull() & F.col("known").isNull(), F.col("dep")))).alias("missing"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("_s", empty))))).alias("source_ids"),
+    )
