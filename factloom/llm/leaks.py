@@ -28,14 +28,22 @@ from pyspark.sql import functions as F
 
 from factloom.runtime import stage
 
-SEED, BLOCK_ITEMS, MIN_WORDS, GAP, MIN_SEEDS, LONG_TILE, COVER = 3, 4096, 15, 6, 4, 6, 0.5
+SEED, BLOCK_ITEMS, MIN_WORDS, MIN_SEEDS, LONG_TILE, COVER = 3, 4096, 15, 4, 6, 0.5
+#: Words of the passage that may be replaced between two tiles, and foreign words (as of markup) in the document.
+GAP, FOREIGN = 2, 4
 SHARED_GRAM, SHARED_BY = 5, 3
 _WORD = re.compile(r"[^\W_]+")
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_ESCAPE = re.compile(r"\\[nrt]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
 def words_of(text: str) -> list[str]:
-    """Words of letters and digits, without letter case and invisible characters."""
+    """Words of letters and digits, without letter case, tags, escaped line ends and invisible characters."""
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "\\" in text:
+        text = _ESCAPE.sub(" ", text)
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     return _WORD.findall(text.casefold())
@@ -112,8 +120,9 @@ def tile(a: list[int], b: list[int], least: int = SEED, start: int = 20) -> list
         s = max(least, s // 2)
 
 
-def in_order(tiles: list[tuple[int, int, int]], gap: int = GAP) -> int:
-    """The most words of tiles that follow each other on both sides with at most ``gap`` words between."""
+def in_order(tiles: list[tuple[int, int, int]], gap: int = GAP, foreign: int = FOREIGN) -> int:
+    """The most words of tiles that follow each other on both sides, with at most ``gap`` words between
+    in the passage (a) and ``foreign`` in the document (b)."""
     best = 0
     rows = sorted(tiles, key=lambda t: t[1])
     score: list[int] = []
@@ -121,7 +130,7 @@ def in_order(tiles: list[tuple[int, int, int]], gap: int = GAP) -> int:
         top = 0
         for m in range(k - 1, -1, -1):
             i2, j2, n2 = rows[m]
-            if 0 <= j - j2 - n2 <= gap and 0 <= i - i2 - n2 <= gap:
+            if 0 <= j - j2 - n2 <= foreign and 0 <= i - i2 - n2 <= gap:
                 top = max(top, score[m])
         score.append(top + n)
         best = max(best, score[-1])
@@ -170,13 +179,13 @@ class Block:
             passage = self.coded[o]
             near = np.zeros(len(c), dtype=bool)
             for p in where:
-                near[max(0, p - GAP) : p + SEED + GAP] = True
+                near[max(0, p - FOREIGN) : p + SEED + FOREIGN] = True
             # words far from all seeds of the item can't be in a tile; a stop stays in their place
             keep = np.flatnonzero(near)
             breaks = np.flatnonzero(np.diff(keep) > 1) + 1
             text_part: list[int] = []
             for part in np.split(keep, breaks):
-                text_part += c[part].tolist() + [-1] * (GAP + 1)
+                text_part += c[part].tolist() + [-1] * (FOREIGN + 1)
             tiles = tile(passage.tolist(), text_part)
             order = in_order(tiles)
             cover = sum(n for _, _, n in tiles if n >= LONG_TILE) / len(passage)

@@ -69,6 +69,8 @@ def test_tiling_is_greedy_and_whole():
 
 
 def test_words_in_order():
+    assert L.in_order([(0, 0, 4), (7, 4, 4)]) == 4 and L.in_order([(0, 0, 4), (4, 8, 4)]) == 8 and L.in_order([(0, 0, 4), (4, 9, 4)]) == 4
+    assert L.words_of("A<b class='x'>b</b>\\nC_d É") == ["a", "b", "c", "d", "é"]
     assert L.in_order([(0, 0, 5), (6, 6, 5), (20, 11, 3)]) == 10 and L.in_order([(6, 0, 5), (0, 6, 5)]) == 5 and L.in_order([]) == 0
 
 
