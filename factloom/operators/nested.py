@@ -36,6 +36,10 @@ EDGE_LIMIT = 10_000
 _names: dict[str, str] = {}
 
 
+def _clean(s: str) -> str:
+    return s.encode("utf-8", "replace").decode()
+
+
 def type_name(name: str) -> str:
     """One spelling of a member name: camel case, singular."""
     if name not in _names:
@@ -46,7 +50,7 @@ def type_name(name: str) -> str:
             out = out[:-1]
         if len(_names) > 100_000:
             _names.clear()
-        _names[name] = out or "member"
+        _names[name] = _clean(out) or "member"
     return _names[name]
 
 
@@ -145,10 +149,6 @@ _TYPES = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.stri
 _ROW_NAMES = ["record_id", "table_name", "row_no", "parent_table", "parent_row", "path", "ordinal", "cols"]
 
 
-def _clean(s: str) -> str:
-    return s.encode("utf-8", "replace").decode()
-
-
 def _text(v: object) -> str:
     return _clean(v) if isinstance(v, str) else json.dumps(v)
 

@@ -55,5 +55,10 @@ def test_deep_records(spark):
     assert len(got) == 300 and ("r", "f1", "FRAGMENT", "f0") in got
 
 
+def test_odd_text(spark):
+    odd = '{"record": {"fragment": {"id": "a\\ud800", "\\ud801s": [1], "big": ' + "9" * 400 + ', "sourceIds": "\\u0000"}}}'
+    assert {x[3] for x in links(spark, [("r", odd)])} == {"a?", "\x00"}
+
+
 def test_empty(spark):
     assert links(spark, []) == set()
