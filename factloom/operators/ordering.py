@@ -35,3 +35,13 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     rest = [c for c in df.columns if c not in (key, by)]
     packed = F.max(F.struct(F.col(by), *[F.col(c) for c in rest])).alias("_r")
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(packed).select(key, *[F.col(f"_r.{c}").alias(c) for c in [by, *rest]])
+
+
+def first_per_key(df: DataFrame, keys: list[str], order: list[str], k: int, out: str, salt: int = 64) -> DataFrame:
+    """The first ``k`` rows of each key in ``order`` with their place from 1.
+
+    A key is cut in ``salt`` parts first, so what meets in one task is salt x k rows of it at most.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(salt))
+    near = df.withColumn("_salt", part).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_n") <= k)
+    return near.drop("_salt", "_n").withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= k)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.ordering import first_per_key
 
 #: Limits that results are defined by.
 PER_TERM, PER_CONTEXT, QUERY_TERMS, PAYLOAD_BYTES = 1024, 4096, 256, 65_536
@@ -21,11 +22,9 @@ def term_rows(facts: DataFrame, text_col: str = "texts") -> DataFrame:
 def postings(facts: DataFrame, per_term: int = PER_TERM) -> DataFrame:
     """(bucket, term, lane, fact_key, place): the least ``per_term`` facts of each term.
 
-    The rank filter is pushed before the shuffle as a group limit, so a term
-    that stands in a third of all facts sends at most ``per_term`` rows from each task.
+    Terms are cut in salted parts first, so one that stands in a third of all facts meets no task as a whole.
     """
-    w = Window.partitionBy("term").orderBy("fact_key", "lane")
-    ranked = term_rows(facts).withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_term)
+    ranked = first_per_key(term_rows(facts), ["term"], ["fact_key", "lane"], per_term, "place")
     return ranked.select(T.term_bucket("term").alias("bucket"), "term", "lane", "fact_key", F.col("place").cast("int"))
 
 

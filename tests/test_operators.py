@@ -83,6 +83,14 @@ def test_numbers_within_keys(spark):
     assert {(r["k"], r["i"]): r["seq"] for r in got} == {(k, i): n for k, v in want.items() for n, i in enumerate(v)}
 
 
+def test_first_per_key(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("aaab"), i) for i in range(300)]
+    got = {(r["k"], r["i"]): r["place"] for r in O.first_per_key(spark.createDataFrame(rows, "k string, i int"), ["k"], ["i"], 7, "place", salt=4).collect()}
+    want = {(k, i): n + 1 for k in "ab" for n, i in enumerate(sorted(i for x, i in rows if x == k)[:7])}
+    assert got == want
+
+
 def test_meet_in_order(spark):
     def fold(vs):
         cov, scopes, bounds = vs[0][0], set(vs[0][1]), set(vs[0][2])
