@@ -21,6 +21,7 @@ empty result; further columns are ignored.  Positions are Unicode code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from factloom.runtime import stage
 
 PAIR_LIMIT = 32
 CHUNK = 1 << 20
+SEEN_LIMIT = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -134,28 +136,39 @@ def _anchor_batches(k: int, w: int):
 
 def _context_batches(k: int, side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()
         for b in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[] for _ in CONTEXT]
             size = 0
             for id_, k1, text, marks in zip(b.column("id").to_pylist(), b.column("k1").to_pylist(), b.column("text").to_pylist(), b.column("marks").to_pylist()):
                 for m in marks:
                     p = m["pos"]
                     s = max(0, p - side)
-                    ctx = text[s : p + k + side]
-                    for col, v in zip(out, (m["h"], m["hot"], id_, k1, s, p - s, ctx)):
+                    ctx, cid = text[s : p + k + side], 0
+                    if m["hot"]:
+                        # the surroundings of a frequent anchor are sent along once from each task
+                        cid = int.from_bytes(hashlib.blake2b(ctx.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                        key = (m["h"], p - s, cid)
+                        if key in seen:
+                            ctx = None
+                        else:
+                            if len(seen) >= SEEN_LIMIT:
+                                seen.clear()
+                            seen.add(key)
+                    for col, v in zip(out, (m["h"], m["hot"], id_, k1, s, p - s, cid, ctx)):
                         col.append(v)
-                    size += len(ctx)
+                    size += len(ctx or "") + 64
                 if size > 4_000_000:
                     yield _contexts(out)
-                    out, size = [[], [], [], [], [], [], []], 0
+                    out, size = [[] for _ in CONTEXT], 0
             if out[0]:
                 yield _contexts(out)
 
     return run
 
 
-CONTEXT = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("id", pa.string()), ("k1", pa.int64()), ("s", pa.int64()), ("off", pa.int32()), ("ctx", pa.string())])
-CONTEXT_DDL = "h long, hot boolean, id string, k1 long, s long, off int, ctx string"
+CONTEXT = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("id", pa.string()), ("k1", pa.int64()), ("s", pa.int64()), ("off", pa.int64()), ("cid", pa.int64()), ("ctx", pa.string())])
+CONTEXT_DDL = "h long, hot boolean, id string, k1 long, s long, off long, cid long, ctx string"
 
 
 def _contexts(cols: list[list]) -> pa.RecordBatch:
@@ -285,14 +298,18 @@ def shared_spans(df: DataFrame, id_col: str = "id", text_col: str = "text", min_
 
     cold = contexts.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(_pair_batches(k, side, min_chars), "id string, s long, e long")
 
-    hot = contexts.where("hot").withColumn("cid", F.xxhash64("ctx", "off"))
-    alike = hot.groupBy("h", "off", "cid", "ctx").agg(F.min("k1").alias("mn"), F.max("k1").alias("mx"))
+    hot = contexts.where("hot")
+    alike = hot.groupBy("h", "off", "cid").agg(F.min("k1").alias("mn"), F.max("k1").alias("mx"), F.max("ctx").alias("ctx"))
     windows = alike.mapInArrow(_window_batches(k, min_chars), "h long, off long, cid long, mn long, mx long, j long, wh long")
     windows = stage(windows, "windows")
     common = windows.groupBy("h", "wh").agg(F.min("mn").alias("lo"), F.max("mx").alias("hi")).where("lo <> hi").select("h", "wh")
-    offsets = windows.join(common, ["h", "wh"]).groupBy("h", "off", "cid").agg(F.collect_set("j").alias("js"))
-    wide = hot.drop("ctx").withColumn("off", F.col("off").cast("long")).join(offsets, ["h", "off", "cid"]).select("id", "s", F.explode("js").alias("j"))
-    wide = wide.select("id", (F.col("s") + F.col("j")).alias("s"), (F.col("s") + F.col("j") + min_chars).alias("e"))
+    # at most min_chars - K + 1 windows hold an anchor; those next to each other make one run
+    joined = windows.join(common, ["h", "wh"]).groupBy("h", "off", "cid").agg(F.array_sort(F.collect_set("j")).alias("js"))
+    runs = F.filter("js", lambda j: ~F.array_contains("js", j - 1))
+    ends = F.filter("js", lambda j: ~F.array_contains("js", j + 1))
+    offsets = joined.select("h", "off", "cid", F.arrays_zip(runs.alias("a"), ends.alias("b")).alias("runs"))
+    wide = hot.drop("ctx").join(offsets, ["h", "off", "cid"]).select("id", "s", F.explode("runs").alias("r"))
+    wide = wide.select("id", (F.col("s") + F.col("r.a")).alias("s"), (F.col("s") + F.col("r.b") + min_chars).alias("e"))
     merged = merge_spans(cold.unionByName(wide))
     return merged.select(F.col("id").alias("source_id"), F.col("s").alias("start_char"), F.col("e").alias("end_char"))
 
