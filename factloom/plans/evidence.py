@@ -58,13 +58,16 @@ def exact_rows(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(M.unique_or_error(c, ["context_id"]), "context_id").select("context_id", "intent")
 
 
-@query("facet_callers", f"with {EDGES_SQL} select source, target, kind, 'SUPPORTED' as status from edges where target in (select 's' || s_suppkey from supplier where s_acctbal < 0)")
+_OR_NONE = "select * from h union all select null, null, null, 'UNSUPPORTED' where not exists (select 1 from h)"
+
+
+@query("facet_callers", f"with {EDGES_SQL}, h as (select source, target, kind, 'SUPPORTED' as status from edges where target in (select 's' || s_suppkey from supplier where s_acctbal < 0)) {_OR_NONE}")
 def facet_callers(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
     return M.facet(V.edges(spark, d), ids, "callers")
 
 
-@query("facet_callees", f"with {EDGES_SQL} select source, target, kind, 'SUPPORTED' as status from edges where source in (select 'c' || c_custkey from customer where c_mktsegment = 'BUILDING')")
+@query("facet_callees", f"with {EDGES_SQL}, h as (select source, target, kind, 'SUPPORTED' as status from edges where source in (select 'c' || c_custkey from customer where c_mktsegment = 'BUILDING')) {_OR_NONE}")
 def facet_callees(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
     return M.facet(V.edges(spark, d), ids, "callees")

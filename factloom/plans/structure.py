@@ -26,7 +26,13 @@ def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.report(_full(spark, sf_dir))
+    return hierarchy.report(_full(spark, sf_dir)).drop("tree_pos")
+
+
+def p3_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compact form: chain, place in it and in the tree; descendants are the places from desc_from to desc_to of the same root."""
+    full = _full(spark, sf_dir)
+    return full.select(F.col("kind").alias("record_kind"), F.col("id").alias("node_id"), "root", "chain", "at", "pos", (F.col("pos") + 1).alias("desc_from"), (F.col("pos") + F.col("size") - 1).alias("desc_to"), F.size("segments").alias("n_segments"))
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +76,33 @@ def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("table_name", "parent_table").agg(F.count("*").alias("n_rows"), F.count_distinct("record_id").alias("n_records"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_fragments": p5_fragments, "p5_sources": p5_sources, "p5_tables": p5_tables, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_unified": p4_unified}
-SQL: dict[str, str] = {}
+_SPELLED = r"nullif(regexp_replace(regexp_replace(lower({0}), '^\s+|\s+$', '', 'g'), '^(publication:|context:)\s*', ''), '')"
+RECORDS_SQL = f"""recs as (select distinct 'PUBLICATION' as k, id as node, {_SPELLED.format('id')} as key, {_SPELLED.format('parent')} as up from publications where id is not null
+  union all select distinct 'CONTEXT', context_id, {_SPELLED.format('context_id')}, {_SPELLED.format('parent_context_id')} from contexts where context_id is not null),
+tree as (select r.k, r.key, p.key as up from recs r join recs p on p.k = r.k and p.key = r.up), walk(k, key, anc) as (select k, key, up from tree union select w.k, w.key, t.up from walk w join tree t on t.k = w.k and t.key = w.anc),
+ring as (select k, key from walk where key = anc)"""
+#: Ancestors of each record with the rings cut.
+PATHS_SQL = f"""{RECORDS_SQL}, cut as (select * from tree where (k, key) not in (select k, key from ring)), ups(k, key, anc, dist) as (select k, key, key, 0 from recs union all select u.k, u.key, c.up, dist + 1 from ups u join cut c on c.k = u.k and c.key = u.anc)"""
+QUERIES = {"p5_found": p5_found, "p5_fragments": p5_fragments, "p5_sources": p5_sources, "p5_tables": p5_tables, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_positions": p3_positions, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_unified": p4_unified}
+_LIST = "case json_type({0}) when 'ARRAY' then from_json({0}, '[\"json\"]') when 'NULL' then [] else [{0}] end"
+NESTED_SQL = f"""raw as (select distinct record_id, case when json_type(body::json) = 'VARCHAR' then json_extract_string(body::json, '$')::json else body::json end as j from (select * from work_records where record_id is not null and json_valid(body))),
+top as (select record_id, json_extract(j, '$.record.fragment') as x, json_extract(j, '$.source') as s from raw),
+frag(record_id, parent_id, f) as (select record_id, record_id, unnest({_LIST.format('x')}) from top where x is not null
+  union all select record_id, json_extract_string(f, '$.id'), unnest({_LIST.format("(json_extract(f, '$.fragments'))")}) from frag where json_type(f) = 'OBJECT' and json_extract(f, '$.fragments') is not null),
+own as (select record_id, parent_id, f from frag where json_type(f) = 'OBJECT'),
+ids(record_id, parent_id, link, v) as (select record_id, json_extract_string(f, '$.id'), 'SOURCE', coalesce(json_extract(f, '$.sourceIds'), json_extract(f, '$.source_ids')) from own union all select record_id, json_extract_string(f, '$.id'), 'DEPENDENCY', coalesce(json_extract(f, '$.dependencyIds'), json_extract(f, '$.dependency_ids')) from own
+  union all select record_id, parent_id, link, unnest(from_json(v, '["json"]')) from ids where json_type(v) = 'ARRAY'),
+src as (select record_id, unnest({_LIST.format('s')}) as o from top where s is not null),
+links as (select record_id, parent_id, 'FRAGMENT' as link, json_extract_string(f, '$.id') as child_id from own
+  union all select record_id, parent_id, link, case json_type(v) when 'OBJECT' then json_extract_string(v, '$.id') else json_extract_string(v, '$') end from ids where json_type(v) not in ('ARRAY', 'NULL')
+  union all select record_id, json_extract_string(o, '$.id'), 'OCCURRENCE', coalesce(json_extract_string(o, '$.occurrence.startByte'), json_extract_string(o, '$.occurrence.start_byte')) from src)"""
+SQL: dict[str, str] = {
+    "p3_found": f"with recursive {RECORDS_SQL} select r.k as record_kind, n.node as node_id, min(a.node) as cycle_key from ring r join walk w on w.k = r.k and w.key = r.key join recs n on n.k = r.k and n.key = r.key join recs a on a.k = w.k and a.key = w.anc group by all",
+    "p3_hierarchy": f"""with recursive {PATHS_SQL}, p as (select u.k, u.key, max(dist) as depth, string_agg(a.node, '/' order by dist desc) as path, arg_max(a.node, dist) as root_id, arg_max(a.key, dist) as root_key from ups u join recs a on a.k = u.k and a.key = u.anc group by u.k, u.key),
+below as (select k, anc, count(*) - 1 as n from ups group by all)
+select r.k as record_kind, r.node as node_id, pr.node as parent_id, root_id, depth::bigint as depth, path, b.n as n_descendants,
+ case when (r.k, r.key) in (select k, key from ring) then 'ON_CYCLE' when (p.k, p.root_key) in (select k, key from ring) then 'LEADS_TO_CYCLE' when r.up is not null and t.up is null then 'ORPHAN_ROOT' else 'TREE' end as status
+from recs r join p on p.k = r.k and p.key = r.key join below b on b.k = r.k and b.anc = r.key left join tree t on t.k = r.k and t.key = r.key left join cut c on c.k = r.k and c.key = r.key left join recs pr on pr.k = c.k and pr.key = c.up""",
+    "p3_descendants": f"with recursive {PATHS_SQL} select u.k as record_kind, a.node as node_id, n.node as descendant_id, dist::bigint as distance from ups u join recs a on a.k = u.k and a.key = u.anc join recs n on n.k = u.k and n.key = u.key where dist > 0",
+    "p5_found": f"with recursive {NESTED_SQL} select distinct record_id, parent_id, link, child_id from links where parent_id is not null and child_id is not null",
+}
