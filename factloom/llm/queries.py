@@ -10,6 +10,11 @@ from factloom.llm import leaks, packing, pieces, prose, spans
 from factloom.runtime import table
 
 
+_SPANS = """t as (select id, any_value(text) as text from sources where id is not null and text is not null group by id), w as (select id, unnest(range(0, length(text) - 199)) as i, text from t where length(text) >= 200), g as (select id, i, substr(text, i::int + 1, 200) as gram from w),
+s as (select gram from g group by gram having count(distinct id) > 1), p as (select id, i from g where gram in (select gram from s)), m as (select *, case when i > lag(i) over (partition by id order by i) + 200 or lag(i) over (partition by id order by i) is null then 1 else 0 end as new from p),
+n as (select *, sum(new) over (partition by id order by i) as island from m), spans as (select id as source_id, min(i) as start_char, max(i) + 200 as end_char from n group by id, island)"""
+P1_FOUND = f"with {_SPANS} select source_id, start_char, end_char from spans"
+P1_SUMMARY = f"with {_SPANS}, c as (select source_id, sum(end_char - start_char)::bigint as shared_chars, count(*) as runs from spans group by source_id) select source_id, length(text) as n_chars, shared_chars, runs, round(shared_chars / length(text), 6) as shared_share from c join t on id = source_id"
 P2_FOUND = r"""
 with parts as (select id, unnest(string_split_regex(text, '[ \t\r\n]')) as part from sources where id is not null and strlen(text) > 8192)
 select id as source_id, case when max(strlen(part)) > 8192 then 'forced' else 'natural' end as boundary from parts group by id
@@ -61,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND}
+    return {"p1_found": P1_FOUND, "p1_summary": P1_SUMMARY, "p2_found": P2_FOUND}
