@@ -12,7 +12,11 @@ DEPTH, NODES, EDGES = 32, 4096, 8192
 
 
 def bfs(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(node, depth): the least number of edges from any root, as far as ``depth``."""
+    """(node, depth): the least number of edges from any root, as far as ``depth``.
+
+    The edges are written once, as every round reads them.
+    """
+    edges = stage(edges.where("source is not null and target is not null").select("source", "target"), "edges")
     seen = stage(roots.select(F.col("node"), F.lit(0).alias("depth")).distinct(), "seen")
     front = seen
     for d in range(1, depth + 1):
@@ -64,7 +68,7 @@ def outcome_masks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     mask = seeds.groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("mask"))
     mask = stage(mask, "mask")
     front = mask
-    back = edges.select(F.col("target").alias("node"), F.col("source").alias("caller"))
+    back = stage(edges.select("source", "target").distinct(), "edges").select(F.col("target").alias("node"), F.col("source").alias("caller"))
     while True:
         came = front.join(back, "node").groupBy(F.col("caller").alias("node")).agg(F.bit_or("mask").alias("more"))
         joined = stage(mask.join(came, "node", "full_outer").select("node", F.coalesce("mask", F.lit(0)).alias("old"), F.coalesce("mask", F.lit(0)).bitwiseOR(F.coalesce("more", F.lit(0))).alias("mask")), "mask")
