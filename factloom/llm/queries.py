@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import leaks, packing, pieces, prose, spans
 from factloom.runtime import table
@@ -61,9 +62,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_stats(spark, sf_dir).where("not is_prose").select("doc_id")
 
 
+P8_COUNTS = r"""
+select doc_id, length(text) as n_chars, case when trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' then 0 else len(regexp_extract_all(regexp_replace(text, '(?i)\bn/a\b', ' ', 'g'), '\p{L}+')) end as n_words,
+ case when trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' then round(len(regexp_extract_all(text, '\d')) / length(text), 6) end as digit_ratio from documents where doc_id is not null
+"""
+
+
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_stats(spark, sf_dir).select("doc_id", "n_chars", "n_words", F.round("digit_ratio", 6).alias("digit_ratio"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_stats": p8_stats}
+    return {"p1_found": p1_found, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_stats": p8_stats, "p8_counts": p8_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_summary": P1_SUMMARY, "p2_found": P2_FOUND}
+    return {"p1_found": P1_FOUND, "p1_summary": P1_SUMMARY, "p2_found": P2_FOUND, "p8_counts": P8_COUNTS}
