@@ -15,9 +15,10 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "
 
     Rows are range partitioned by keys and order, so a key of any size spreads
     over partitions; only a count per key and partition meets in a window.
+    The rows are written first, as range partitioning reads them twice.
     """
     cols = [*keys, *order]
-    laid = stage(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_mid", F.monotonically_increasing_id()), "numbered")
+    laid = stage(stage(df, "rows").repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_mid", F.monotonically_increasing_id()), "numbered")
     laid = laid.withColumn("_pid", F.shiftright("_mid", 33))
     parts = laid.groupBy(*keys, "_pid").agg(F.min("_mid").alias("_lo"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
