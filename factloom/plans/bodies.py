@@ -89,7 +89,7 @@ def proposed_graph_problems(spark: SparkSession, d: str) -> DataFrame:
     return D.graph_problems(nodes, edges, open_.select(F.col("o_custkey").alias("graph"), key(F.col("o_orderkey") + 1000000000).alias("node")))
 
 
-@query("hashed_ledger")
+@query("hashed_ledger", """select o_orderkey, o_custkey, o_orderstatus, 'sha256:' || sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') as event_hash from orders""")
 def hashed_ledger(spark: SparkSession, d: str) -> DataFrame:
     return L.hashed(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
@@ -170,7 +170,9 @@ def _annotations(spark: SparkSession, d: str) -> DataFrame:
     return own.union(p.select(*t(brand, member, name, path, none)))
 
 
-@query("annotated_routes")
+@query("annotated_routes", """with p as (select replace(p_brand, '#', '') as class, 'm' || p_partkey as member, case when p_size < 15 then 'GET' when p_size < 30 then 'POST' end as http_method, p_brand not like '%1' as based, case when p_size = 14 then '' else replace(p_type, ' ', '/') end as child from part where p_size < 40),
+q as (select class, member, http_method, case when based and child = '' then null when based then '/' || class || '/' || child when child = '' then '' else '/' || child end as path from p)
+select class, member, http_method, path, case when path is null then 'PATH_NOT_STATIC' when http_method is null then 'HTTP_METHOD_UNSPECIFIED' end as gap from q""")
 def annotated_routes(spark: SparkSession, d: str) -> DataFrame:
     return E.jvm_routes(_annotations(spark, d))
 
@@ -180,7 +182,9 @@ def annotated_listeners(spark: SparkSession, d: str) -> DataFrame:
     return E.listeners(_annotations(spark, d))
 
 
-@query("attribute_routes")
+@query("attribute_routes", """with p as (select replace(p_brand, '#', '') as class, 'm' || p_partkey as member, case when p_size < 15 then 'GET' else 'POST' end as http_method, p_brand not like '%1' as based, case when p_size = 14 then null when p_size = 44 then '${topic}' else replace(p_type, ' ', '/') end as child from part),
+q as (select class, member, http_method, case when child like 'PROMO%' then '/' || member when based and child is null then '/api/' || class when based then '/api/' || class || '/' || child when child is not null then '/' || child end as path from p)
+select class, member, http_method, path, case when path is null then 'TEMPLATE_NOT_STATIC' end as gap from q""")
 def attribute_routes(spark: SparkSession, d: str) -> DataFrame:
     a = _annotations(spark, d)
     name = F.when(F.col("name") == "RestController", "ApiController").when(F.col("member").isNull(), "Route").when(F.col("name") == "GetMapping", "HttpGet").otherwise("HttpPost")

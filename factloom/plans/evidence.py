@@ -92,7 +92,8 @@ def saved_overlay(spark: SparkSession, d: str) -> DataFrame:
     return D.overlay(base, work, "path", "regular")
 
 
-@query("literal_locate")
+@query("literal_locate", """with s as (select distinct id, text from sources where id is not null and contains(text, 'digest')), p as (select id, string_split(text, 'digest') as parts from s), q as (select id, parts, unnest(range(1, len(parts))) as i from p),
+r as (select id, list_sum(list_transform(parts[1:i], lambda x: strlen(x)))::bigint + (i - 1) * 6 as begun from q) select id, begun as byte_start, begun + 6 as byte_end from r""")
 def literal_locate(spark: SparkSession, d: str) -> DataFrame:
     from factloom.sources.files import locate
 

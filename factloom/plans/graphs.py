@@ -287,7 +287,9 @@ def control_graph_check(spark: SparkSession, d: str) -> DataFrame:
     return N.control_graph(l, edges, "graph")
 
 
-@query("closed_schema_check")
+@query("closed_schema_check", """with m as (select distinct manifest_id, body from publication_manifests), k as (select *, case when json_valid(body) then json_type(body::json) end as t from m),
+p as (select manifest_id, case when t is null or t <> 'OBJECT' then 'UNREADABLE' when len(list_filter(json_keys(body::json), lambda x: x not in ('schema', 'id', 'ordinal', 'parent', 'inputDigest', 'released', 'documentationLanguage', 'evidencePackages', 'files'))) > 0 then 'UNKNOWN_FIELD'
+ when json_extract_string(body::json, '$.schema') is null or json_extract_string(body::json, '$.id') is null or json_extract_string(body::json, '$.ordinal') is null then 'MISSING_FIELD' end as problem from k) select manifest_id, problem from p where problem is not null""")
 def closed_schema_check(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "publication_manifests").select("manifest_id", "body").distinct()
     return N.closed_schema(m, "body", ["schema", "id", "ordinal"], ["parent", "inputDigest", "released", "documentationLanguage", "evidencePackages", "files"]).select("manifest_id", "problem")
@@ -296,7 +298,8 @@ def closed_schema_check(spark: SparkSession, d: str) -> DataFrame:
 # --- sources, sinks and streams ------------------------------------------------------------------
 
 
-@query("mermaid_graph")
+@query("mermaid_graph", """with l as (select 0 as part, '' as key, 'flowchart LR' as line union all select 1, 'n' || n_nationkey, '  n' || n_nationkey || '["' || n_name || '"]' from nation union all select 1, 'r' || r_regionkey, '  r' || r_regionkey || '["' || r_name || '"]' from region
+ union all select 2, 'r' || n_regionkey || '>n' || n_nationkey, '  r' || n_regionkey || case when n_nationkey > 12 then ' -.->|' else ' -->|' end || '"has"| n' || n_nationkey from nation) select string_agg(line, chr(10) order by part, key, line) as diagram from l""")
 def mermaid_graph(spark: SparkSession, d: str) -> DataFrame:
     from factloom.sources.render import mermaid
 
@@ -314,7 +317,8 @@ def flow_trees(spark: SparkSession, d: str) -> DataFrame:
     return flow_tree(_steps(spark, d).select("owner", "ordinal", kind.alias("kind"), F.col("event_type").alias("label")), "owner")
 
 
-@query("markdown_by_member")
+@query("markdown_by_member", r"""with c as (select distinct session_id, context_id, intent from contexts where intent is not null), r as (select *, row_number() over (partition by session_id order by context_id) as turn from c), p as (select * from r order by turn, session_id limit 50)
+select string_agg('- **' || session_id || '** ' || trim(regexp_replace(intent, '\s+', ' ', 'g')), chr(10) order by turn, session_id) as page from p""")
 def markdown_by_member(spark: SparkSession, d: str) -> DataFrame:
     from factloom.sources.render import markdown
 
@@ -330,7 +334,8 @@ def ddl_tables(spark: SparkSession, d: str) -> DataFrame:
     return statements(s, "id", "text")
 
 
-@query("contract_documents")
+@query("contract_documents", """with p as (select distinct p_brand as file, '/parts/' || replace(p_type, ' ', '/') as path from part)
+select file, 'GET' as method, path, path as path_key, 'get' as operation_id, ['query:q', 'path:id'] as parameters from p union all select file, 'POST', path, path, null, ['path:id'] from p""")
 def contract_documents(spark: SparkSession, d: str) -> DataFrame:
     from factloom.sources.openapi import operations
 
@@ -374,7 +379,8 @@ def stream_fact_append(spark: SparkSession, d: str) -> DataFrame:
     return append_facts(spark, f"{d}/events.parquet")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """with e as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 30 minutes or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events),
+s as (select *, sum(new) over (partition by user_id order by ts) as n from e) select user_id, count(*) as rows, max(ts) as last_ts from s group by user_id, n""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     from factloom.streaming.facts import attempt_states
 

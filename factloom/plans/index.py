@@ -204,7 +204,9 @@ def path_key_normalise(spark: SparkSession, d: str) -> DataFrame:
     return paths.select("path", T.path_key("path").alias("path_key"))
 
 
-@query("joined_paths")
+@query("joined_paths", r"""with s as (select distinct service, file from sources where service is not null and file is not null)
+select service, file, case when not regexp_matches(service || file, '[$#]\{') and not regexp_matches(service, '[*?]') and file <> '' then rtrim('/' || ltrim(service, '/'), '/') || '/' || ltrim(file, '/') end as path,
+ rtrim(ltrim(file, '/'), '/') as template, case when not regexp_matches(service || file, '[\[\]]') then '/docs/' || service || '/[x]/' || file end as filled from s""")
 def joined_paths(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sources").where("service is not null and file is not null").select("service", "file").distinct()
     return s.select("service", "file", T.join_path(F.concat("service", F.lit("/*")), "file").alias("path"), T.join_template("service", F.concat(F.lit("~/"), "file")).alias("template"), T.fill_template(F.lit("[Area]/[controller]/[[x]]/[action]"), "service", "file", F.lit("docs")).alias("filled"))
@@ -235,7 +237,7 @@ def plain_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "contexts").select(F.explode("terms").alias("name")).distinct().select("name", T.plain_name("name").alias("plain"))
 
 
-@query("descriptors")
+@query("descriptors", """select p_partkey, '(I[Lcom/' || regexp_replace(p_name, '[^A-Za-z]+', '/', 'g') || ';[[J)' || case when p_size % 3 = 0 then 'V' else 'Ljava/lang/String;' end as descriptor, true as valid, ['int', 'com.' || replace(regexp_replace(p_name, '[^A-Za-z]+', '/', 'g'), '/', '.') || '[]', 'long[][]'] as parameters from part""")
 def descriptors(spark: SparkSession, d: str) -> DataFrame:
     """Method descriptors made of the names of parts and their sizes."""
     p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("(I[Lcom/"), F.regexp_replace("p_name", "[^A-Za-z]+", "/"), F.lit(";[[J)"), F.when(F.col("p_size") % 3 == 0, "V").otherwise("Ljava/lang/String;")).alias("descriptor"))

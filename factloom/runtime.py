@@ -26,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _shipped: set[str] = set()
+_staged: list[tuple[str, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,8 +58,20 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this session has staged so far; results that read them have to be written before."""
+    mine = [p for a, p in _staged if a == spark.sparkContext.applicationId]
+    jvm = spark.sparkContext._jvm
+    for p in mine:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _staged[:] = [x for x in _staged if x[1] not in set(mine)]
+    return len(mine)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

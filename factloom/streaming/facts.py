@@ -35,7 +35,7 @@ def hourly_counts(spark: SparkSession, path: str) -> DataFrame:
     """(event_type, start, n) per hour; rows later than the watermark would be dropped, so the last state is written whole."""
     base = f"{shared_dir(spark)}/streams/hours-{uuid.uuid4().hex}"
     hours = _source(spark, path).groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    out = hours.select("event_type", F.col("w.start").alias("start"), "n")
+    out = hours.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/table")
@@ -52,5 +52,5 @@ def attempt_states(spark: SparkSession, path: str) -> DataFrame:
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/table")
 
-    s.select("user_id", "rows", "last_ts").writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    s.select("user_id", "rows", F.col("last_ts").cast("timestamp_ntz").alias("last_ts")).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.parquet(f"{base}/table")

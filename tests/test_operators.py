@@ -83,6 +83,14 @@ def test_numbers_within_keys(spark):
     assert {(r["k"], r["i"]): r["seq"] for r in got} == {(k, i): n for k, v in want.items() for n, i in enumerate(v)}
 
 
+def test_staged_tables_are_released(spark):
+    from factloom import runtime
+
+    runtime.release(spark)
+    kept = runtime.stage(spark.range(3).toDF("a"))
+    assert kept.count() == 3 and runtime.release(spark) == 1 and runtime.release(spark) == 0
+
+
 def test_first_per_key(spark):
     rnd = random.Random(5)
     rows = [(rnd.choice("aaab"), i) for i in range(300)]
