@@ -63,7 +63,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 P8_COUNTS = r"""
-select doc_id, length(text) as n_chars, case when trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' then 0 else len(regexp_extract_all(regexp_replace(text, '(?i)\bn/a\b', ' ', 'g'), '\p{L}+')) end as n_words,
+select doc_id, length(text) as n_chars, case when trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' then 0 else len(regexp_extract_all(text, '\p{L}+')) end as n_words,
  case when trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' then round(len(regexp_extract_all(text, '\d')) / length(text), 6) end as digit_ratio from documents where doc_id is not null
 """
 

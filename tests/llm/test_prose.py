@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -47,3 +48,29 @@ def test_table(spark):
     assert {i: r["is_prose"] for i, r in got.items()} == {1: True, 2: False, 3: None, 4: None, 5: None, 6: True, 7: True}
     assert got[3]["n_chars"] is None and got[5]["n_chars"] == 3 and got[4]["n_words"] == 0 and P.text_stats(df).count() == 8
     assert P.text_stats(df.where("false")).count() == 0
+
+
+def _without(text, *names):
+    return P.measure(text, P.WEIGHTS | dict.fromkeys(names, 0.0))[-1]
+
+
+MARKED = "\n".join(f"- {x}." for x in ("lease of batch", "quiet window closed", "old archive open", "late batch", "one reader") * 2)
+RAGGED = "\n".join(("the lease", "an old batch within that open archive", "a queue", "the late window under a shard", "the rest", "end"))
+NESTED = "\n".join(("the lease and a batch", "        the old queue", "a window of the shard", "        a late reader", "the quiet reader who", "        the rest of it"))
+
+
+@pytest.mark.parametrize("text, feature", [(MARKED, "aligned"), (RAGGED, "ragged"), (NESTED, "period")])
+def test_each_feature_decides(text, feature):
+    assert P.measure(text)[-1] is False and _without(text, feature) is True
+
+
+@pytest.mark.parametrize("text", ["." * 200_000 + "x", " " * 200_000 + "x", "1. " * 100_000, "=" * 200_000, "…'" * 100_000, "a b c\n" * 60_000])
+def test_long_texts_in_linear_time(text):
+    began = time.process_time()
+    P.measure(text)
+    assert time.process_time() - began < 5
+
+
+def test_scripts_without_spaces():
+    assert P.measure("这是一个很长的句子，没有空格。第二句话也很长，说明情况。" * 9)[-1] is True
+    assert P.measure("\n".join(["- 项目一", "- 项目二", "- 项目三"] * 5))[-1] is False
