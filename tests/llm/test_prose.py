@@ -56,7 +56,7 @@ def _without(text, *names):
 
 MARKED = "\n".join(f"- {x}." for x in ("lease of batch", "quiet window closed", "old archive open", "late batch", "one reader") * 2)
 RAGGED = "\n".join(("the lease", "an old batch within that open archive", "a queue", "the late window under a shard", "the rest", "end"))
-NESTED = "\n".join(("the lease and a batch", "        the old queue", "a window of the shard", "        a late reader", "the quiet reader who", "        the rest of it"))
+NESTED = "\n".join(("the lease and a batch", "        old queue row", "a window of one shard", "        late readers", "the quiet reader lease", "        open records"))
 
 
 @pytest.mark.parametrize("text, feature", [(MARKED, "aligned"), (RAGGED, "ragged"), (NESTED, "period")])
