@@ -1,13 +1,23 @@
 """Schemas that drift between the documents of a history.
 
-Every readable body is profiled: kind of each top-level field and a sketch of
-its value (shapes of strings, element and member shapes, numbers).  A history
-is numbered and worked off in blocks that overlap by a few rows, so a group may
-be of any size; what a block has to know of earlier ones (the last lasting kind
-of a field) is carried by a window over one row per block and field.  A state
-lasts if two readable bodies in succession show it.  Fields that go and fields
-that come at one body are matched as a bipartite graph weighted by likeness of
-sketches and names; matched ones are renames.
+1. The bodies are range partitioned by history and order and cut into blocks of
+   consecutive bodies.  A block is profiled into one row: for each field where
+   it is there and where not, the runs of its JSON kinds, and sketches of the
+   values next to where it comes and goes.
+2. The blocks of a history are folded in order.  The fold joins runs across
+   block edges, so where the edges lie has no influence on the result, and
+   holds one state per field that is there, never bodies.
+3. A state lasts if two readable bodies in succession show it; for kinds nulls
+   and single absences are passed over, and what was lastingly absent comes
+   back as a new field.  Fields that lastingly go and fields that lastingly
+   come at one body are matched as a bipartite graph weighted by likeness of
+   sketches and names; matched ones are renames.
+4. ``unify`` puts matched fields into one column, history by history.
+
+A sketch covers a whole value: the form of a string (by digest beyond FORM
+characters) and, for arrays and objects, the SKETCH least hashes of all distinct
+element or member forms.  Likeness compares the ``sample`` values on either side
+of a change.
 
 Defined results: null keys, unreadable and non-object bodies are left out of
 the history; of repeated keys the row loaded last counts; nulls count as
@@ -18,22 +28,23 @@ empty results; further columns are ignored.
 from __future__ import annotations
 
 import json
+import pickle
 import re
-from collections import Counter
+import zlib
+from collections import Counter, deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.ordering import latest, number_within
+from factloom.operators.ordering import join_hot, latest
 from factloom.runtime import stage
 
-BLOCK, HALO, SAMPLE = 1024, 24, 8
+BLOCK, BLOCK_CHARS, SAMPLE = 1024, 1 << 24, 8
+FORM, SKETCH = 128, 16
 ALIKE = 0.55
-NAME_LIMIT = 100_000
 
 
 def kind_of(v: object) -> str:
@@ -52,12 +63,20 @@ _HEX, _RUN = re.compile(r"[0-9a-f]{12,}"), re.compile(r"[^\W\d_]+|\d+")
 def shape_of(s: str) -> str:
     """The form of a string: runs of hex digits, letters and digits by kind and coarse length."""
     out, at = [], 0
-    for m in _HEX.finditer(s[:256]):
+    for m in _HEX.finditer(s):
         out += [s[at : m.start()], f"\x00{len(m.group())}\x01"]
         at = m.end()
-    out.append(s[at:256])
+    out.append(s[at:])
     run = lambda m: "9" if m.group()[0].isdigit() else f"a{len(m.group())}" if len(m.group()) < 4 else "a+"
-    return "".join(x if x[:1] == "\x00" else _RUN.sub(run, x) for x in out)
+    form = "".join(x if x[:1] == "\x00" else _RUN.sub(run, x) for x in out)
+    return form if len(form) <= FORM else f"{form[:FORM]}#{zlib.crc32(form.encode('utf-8', 'surrogatepass')):08x}"
+
+
+def _least(tokens: set[str]) -> list[str]:
+    """The SKETCH tokens of least hash, a uniform sample of all distinct ones."""
+    if len(tokens) <= SKETCH:
+        return sorted(tokens)
+    return sorted(sorted(tokens, key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t))[:SKETCH])
 
 
 def sketch(v: object) -> list[str]:
@@ -69,8 +88,8 @@ def sketch(v: object) -> list[str]:
     if isinstance(v, str):
         return ["s:" + shape_of(v)]
     if isinstance(v, list):
-        return sorted({"e:" + (shape_of(x) if isinstance(x, str) else kind_of(x)) for x in v})[:16]
-    return sorted({f"m:{shape_of(k)}={shape_of(x) if isinstance(x, str) else kind_of(x)}" for k, x in v.items()})[:16]
+        return _least({"e:" + (shape_of(x) if isinstance(x, str) else kind_of(x)) for x in v})
+    return _least({f"m:{shape_of(k)}={shape_of(x) if isinstance(x, str) else kind_of(x)}" for k, x in v.items()})
 
 
 def _refuse(x: str) -> None:
@@ -85,22 +104,6 @@ def read_object(body: str | None) -> dict | None:
     return v if isinstance(v, dict) else None
 
 
-PROFILE_DDL = "key string, history string, at timestamp, fields array<struct<f:string,k:string,s:array<string>>>"
-_FIELDS = pa.list_(pa.struct([("f", pa.string()), ("k", pa.string()), ("s", pa.list_(pa.string()))]))
-
-
-def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep, rows = [], []
-        for i, body in enumerate(b.column("body").to_pylist()):
-            v = read_object(body)
-            if v is not None:
-                keep.append(i)
-                rows.append([{"f": f.encode("utf-8", "replace").decode(), "k": kind_of(x), "s": [t.encode("utf-8", "replace").decode() for t in sketch(x)]} for f, x in v.items()])
-        idx = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("key").take(idx), b.column("history").take(idx), b.column("at").take(idx), pa.array(rows, _FIELDS)], names=["key", "history", "at", "fields"])
-
-
 def likeness(old: list[tuple[str, list[str]]], new: list[tuple[str, list[str]]]) -> float:
     """Likeness of two samples of (kind, sketch); ``old`` ends where ``new`` begins."""
     old, new = [x for x in old if x[0] != "null"], [x for x in new if x[0] != "null"]
@@ -162,118 +165,323 @@ def assign(weights: list[list[float]]) -> list[int]:
     return out
 
 
-def _runs(states: list) -> list[tuple[int, int, object]]:
-    """(start, length, state) of the longest runs of equal states."""
-    out: list = []
-    for i, s in enumerate(states):
-        if out and out[-1][2] == s:
-            out[-1] = (out[-1][0], out[-1][1] + 1, s)
+# Blocks: what stands in a block, field by field
+
+#: (row, key) where something begins.
+_At = tuple[int, str]
+
+
+def _kind_runs(shown: list[tuple[int, str]], keys: list[str]) -> list[list]:
+    """[kind, length, where] of the runs of kinds of (row, kind); a single other kind within a lasting one is passed over."""
+    out: list[list] = []
+    for i, k in shown:
+        if k == "null":
+            continue
+        if out and out[-1][0] == k:
+            out[-1][1] += 1
+        elif len(out) > 1 and out[-1][1] == 1 and out[-2][0] == k and out[-2][1] > 1:
+            out.pop()
+            out[-1][1] += 1
+        else:
+            out.append([k, 1, (i, keys[i])])
+    return out
+
+
+def field_runs(shown: list[tuple[int, str]], n: int) -> list[tuple[bool, int, int, list[tuple[int, str]]]]:
+    """(there, first row, rows, what it shows) of the runs of a field in ``n`` rows.
+
+    A single absence within a lasting presence is passed over, and a single presence between lasting absences: in
+    whatever the neighbouring blocks hold, neither can be or bring about a change.
+    """
+    raw: list[tuple[bool, int, int, list[tuple[int, str]]]] = []
+    at = 0
+    for i, k in shown:
+        if i > at or not raw:
+            if i > at:
+                raw.append((False, at, i - at, []))
+            raw.append((True, i, 1, [(i, k)]))
         else:
-            out.append((i, 1, s))
+            raw[-1][3].append((i, k))
+            raw[-1] = (True, raw[-1][1], raw[-1][2] + 1, raw[-1][3])
+        at = i + 1
+    if at < n:
+        raw.append((False, at, n - at, []))
+    out: list[tuple[bool, int, int, list[tuple[int, str]]]] = []
+    for r in raw:
+        out.append(r)
+        while len(out) > 2 and out[-2][2] == 1 and out[-3][2] > 1 and (out[-1][0] or out[-1][2] > 1):
+            left, _, right = out[-3:]
+            out[-3:] = [(left[0], left[1], left[2] + right[2], left[3] + right[3])]
     return out
 
 
-def _lasting(states: list, before: object) -> Iterator[tuple[int, object, object]]:
-    """(position, earlier state, later state) where a lasting state gives way to another."""
-    for at, n, s in _runs(states):
-        if n >= 2:
-            if before is not None and s != before:
-                yield at, before, s
-            before = s
+def summarise(bodies: list[dict], keys: list[str], sample: int) -> tuple:
+    """(rows, first key, {field: runs}); a run is (there, rows, where, kind runs, first sketches, last sketches)."""
+    shown: dict[str, list[tuple[int, str]]] = {}
+    for i, b in enumerate(bodies):
+        for f, x in b.items():
+            shown.setdefault(f, []).append((i, kind_of(x)))
+    out = {}
+    for f, rows in shown.items():
+        runs = []
+        for there, at, n, seen in field_runs(rows, len(bodies)):
+            values = lambda part: [(k, sketch(bodies[i][f])) for i, k in part]  # noqa: B023, E731
+            runs.append((there, n, (at, keys[at]), _kind_runs(seen, keys), values(seen[:sample]), values(seen[-sample:]) if len(seen) > sample else None))
+        if runs[0][0] or len(runs) > 1:
+            out[f] = runs
+    return len(bodies), keys[0], out
+
+
+SUMMARY = pa.schema([("history", pa.string()), ("at", pa.timestamp("us", "UTC")), ("key", pa.string()), ("summary", pa.binary())])
+
+
+def _summary_batches(block: int, sample: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, bodies, keys, chars = None, [], [], 0
+        out: list[tuple] = []
 
+        def close() -> None:
+            nonlocal bodies, keys, chars
+            if bodies:
+                out.append((*first, pickle.dumps(summarise(bodies, keys, sample))))
+            bodies, keys, chars = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, SUMMARY.types)], schema=SUMMARY)
+
+        for b in batches:
+            for h, at, key, body in zip(b.column("history").to_pylist(), b.column("at"), b.column("key").to_pylist(), b.column("body").to_pylist()):
+                v = read_object(body)
+                if v is None:
+                    continue
+                if bodies and (h != first[0] or len(bodies) >= block or chars >= BLOCK_CHARS):
+                    close()
+                    if len(out) >= 64:
+                        yield batch()
+                if not bodies:
+                    first = h, at.as_py(), key
+                bodies.append(v)
+                keys.append(key)
+                chars += len(body)
+        close()
+        yield batch()
+
+    return run
 
-def _rows(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[dict[str, tuple[str, list[str]]]], list[str]]:
-    pdf = pdf.sort_values("seq", ignore_index=True)
-    bodies = [{x["f"]: (x["k"], list(x["s"])) for x in f} for f in pdf["fields"]]
-    return pdf, bodies, sorted({f for b in bodies for f in b})
 
+# The fold over the blocks of a history
 
 ABSENT = "ABSENT"
 
 
-def _kinds(bodies: list[dict], f: str) -> tuple[list[int], list[str]]:
-    """Where a field tells its kind, or is lastingly absent: what comes back later is a new field."""
-    gone = {i for s, n, there in _runs([f in b for b in bodies]) if not there and n >= 2 for i in range(s, s + n)}
-    at = [i for i, b in enumerate(bodies) if i in gone or (f in b and b[f][0] != "null")]
-    return at, [ABSENT if i in gone else bodies[i][f][0] for i in at]
-
-
-def _block_end(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The last lasting kind and presence of each field that a block shows."""
-    pdf, bodies, fields = _rows(pdf)
-    out = []
-    for f in fields:
-        at, kinds = _kinds(bodies, f)
-        kind = [k for s, n, k in _runs(kinds) if n >= 2 and pdf["own"][at[s]]]
-        there = [k for s, n, k in _runs([f in b for b in bodies]) if n >= 2 and pdf["own"][s]]
-        out.append((pdf["history"][0], int(pdf["block"][0]), f, kind[-1] if kind else None, there[-1] if there else None))
-    return pd.DataFrame(out, columns=["history", "block", "f", "kind", "there"])
-
-
-def _block_changes(pdf: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-    names = ["key", "change_kind", "field_before", "field_after"]
-    if pdf.empty:
-        return pd.DataFrame([], columns=names)
-    pdf, bodies, fields = _rows(pdf)
-    earlier = dict(zip(carried["f"], carried["kind"]))
-    there = {f: bool(x) for f, x in zip(carried["f"], carried["there"]) if x is not None}
-    out, gone, come = [], {}, {}
-    for f in fields:
-        for at, _, now in _lasting([f in b for b in bodies], there.get(f)):
-            (come if now else gone).setdefault(at, []).append(f)
-        at, kinds = _kinds(bodies, f)
-        out += [(at[i], "RETYPED", f, f) for i, was, now in _lasting(kinds, earlier.get(f)) if ABSENT not in (was, now)]
-    for i in sorted(set(gone) | set(come)):
-        olds, news = gone.get(i, []), come.get(i, [])
-        taken: set[str] = set()
-        if olds and news:
-            before = {f: [b[f] for b in bodies[:i] if f in b][-SAMPLE:] for f in olds}
-            after = {f: [b[f] for b in bodies[i:] if f in b][:SAMPLE] for f in news}
-            content = [[likeness(before[x], after[y]) for y in news] for x in olds]
-            weights = [[0.8 * c + 0.2 * name_likeness(x, y) if c >= ALIKE else 0.0 for c, y in zip(row, news)] for row, x in zip(content, olds)]
-            for x, j in zip(olds, assign(weights)):
-                if j >= 0:
-                    out.append((i, "RENAMED", x, news[j]))
-                    taken |= {"-" + x, "+" + news[j]}
-        out += [(i, "REMOVED", f, "") for f in olds if "-" + f not in taken] + [(i, "ADDED", "", f) for f in news if "+" + f not in taken]
-    return pd.DataFrame([(pdf["key"][i], *x) for i, *x in out if pdf["own"][i]], columns=names)
-
-
-def profile(df: DataFrame, key: str, history: str, order: str, loaded: str, body: str) -> DataFrame:
-    """Readable bodies as (key, history, at, fields, seq); seq numbers a history."""
-    cols = df.select(F.col(key).cast("string").alias("key"), F.col(history).cast("string").alias("history"), F.col(order).cast("timestamp").alias("at"), F.col(loaded).alias("loaded"), F.col(body).cast("string").alias("body"))
-    read = latest(cols, "key", "loaded").where(F.col("history").isNotNull()).select("key", "history", "at", "body").mapInArrow(_profile_batches, PROFILE_DDL)
-    return number_within(read, ["history"], ["at", "key"])
+class _Values:
+    """The first values of a field since it came; open until there are enough of them or the field has gone."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, list[str]]] = []
+        self.open = True
+
+
+class _Field:
+    """What a history has shown of a field so far."""
+
+    def __init__(self, sample: int):
+        self.sample = sample
+        self.lasting: bool | None = None  # the last lasting presence
+        self.there: bool | None = None  # the run that goes on: its state, length and begin
+        self.n, self.at, self.counted = 0, (0, ""), False
+        self.kind_lasting: str | None = None
+        self.kind: str | None = None
+        self.kind_n, self.kind_at, self.kind_counted = 0, (0, ""), False
+        self.recent: deque = deque(maxlen=sample)
+        self.before: list = []
+        self.since: _Values | None = None
+        self.open: list[_Values] = []
+
+    def enter(self, there: bool, n: int, at: _At) -> None:
+        if self.there == there:
+            self.n += n
+        else:
+            self.there, self.n, self.at, self.counted = there, n, at, False
+
+    def settles(self) -> bool:
+        """Whether the run has just become a lasting one."""
+        now = self.n > 1 and not self.counted
+        self.counted |= now
+        return now
+
+
+class Fold:
+    """Changes of one history, block by block: rows (key, change, field before, field after)."""
+
+    def __init__(self, sample: int):
+        self.sample, self.seq = sample, 0
+        self.fields: dict[str, _Field] = {}
+        self.gone: dict[_At, list[tuple[str, list]]] = {}
+        self.come: dict[_At, list[tuple[str, _Values]]] = {}
+        self.first: _At = (0, "")
+        self.out: list[tuple[str, str, str, str]] = []
+
+    def add(self, n: int, key: str, shown: dict[str, list]) -> None:
+        base = self.seq
+        if not base:
+            self.first = (0, key)
+        for f in [f for f in self.fields if f not in shown]:
+            self._absent(f, n, (base, key))
+        for f, runs in shown.items():
+            if f not in self.fields:
+                self.fields[f] = _Field(self.sample)
+                self.out.append(("", "FIELD", f, ""))
+                if base:
+                    self._absent(f, base, self.first)
+            for there, rows, (at, own), kinds, first, last in runs:
+                if there:
+                    self._present(f, rows, (base + at, own), base, kinds, first, first if last is None else last)
+                else:
+                    self._absent(f, rows, (base + at, own))
+        # what is lastingly absent is as good as never seen
+        for f in [f for f, x in self.fields.items() if x.lasting is False and x.there is False]:
+            del self.fields[f]
+        self.seq = base + n
+        self._flush(self.seq - 1)
+
+    def _absent(self, f: str, n: int, at: _At) -> None:
+        x = self.fields.setdefault(f, _Field(self.sample))
+        if x.there is not False:
+            x.before = list(x.recent)
+        x.enter(False, n, at)
+        if x.settles():
+            if x.lasting:
+                self.gone.setdefault(x.at, []).append((f, x.before))
+            x.lasting, x.kind_lasting, x.kind = False, ABSENT, None
+            x.recent.clear()
+            for v in x.open:
+                v.open = False
+            x.open, x.since = [], None
+
+    def _present(self, f: str, n: int, at: _At, base: int, kinds: list, first: list, last: list) -> None:
+        x = self.fields[f]
+        if x.there is not True:
+            x.since = _Values()
+        x.enter(True, n, at)
+        for v in [*x.open, *([x.since] if x.since and x.since not in x.open else [])]:
+            v.rows += first[: self.sample - len(v.rows)]
+            v.open = len(v.rows) < self.sample
+        x.open = [v for v in x.open if v.open]
+        x.recent.extend(last)
+        if x.settles():
+            if x.lasting is False:
+                self.come.setdefault(x.at, []).append((f, x.since))
+                if x.since.open:
+                    x.open.append(x.since)
+            x.lasting = True
+        for kind, m, (i, key) in kinds:
+            if x.kind == kind:
+                x.kind_n += m
+            else:
+                x.kind, x.kind_n, x.kind_at, x.kind_counted = kind, m, (base + i, key), False
+            if x.kind_n > 1 and not x.kind_counted:
+                x.kind_counted = True
+                if x.kind_lasting not in (None, ABSENT, kind):
+                    self.out.append((x.kind_at[1], "RETYPED", f, f))
+                x.kind_lasting = kind
+
+    def _flush(self, upto: int) -> None:
+        """Writes what was settled before row ``upto`` and waits for no more values."""
+        for at in sorted({a for a in (*self.gone, *self.come) if a[0] < upto}):
+            olds, news = self.gone.get(at, []), self.come.get(at, [])
+            if olds and any(v.open for _, v in news):
+                continue
+            self.gone.pop(at, None)
+            self.come.pop(at, None)
+            self.out += [(at[1], *c) for c in match(sorted(olds), sorted([(f, v.rows) for f, v in news]))]
+
+    def end(self) -> None:
+        for x in self.fields.values():
+            for v in x.open:
+                v.open = False
+        self._flush(self.seq + 1)
+
+
+def match(olds: list[tuple[str, list]], news: list[tuple[str, list]]) -> list[tuple[str, str, str]]:
+    """Renames, removals and additions of fields (name, values) that go and come at one body."""
+    out, taken_old, taken_new = [], set(), set()
+    if olds and news:
+        content = [[likeness(a, b) for _, b in news] for _, a in olds]
+        weights = [[0.8 * c + 0.2 * name_likeness(x, y) if c >= ALIKE else 0.0 for c, (y, _) in zip(row, news)] for row, (x, _) in zip(content, olds)]
+        for i, j in enumerate(assign(weights)):
+            if j >= 0:
+                out.append(("RENAMED", olds[i][0], news[j][0]))
+                taken_old.add(i)
+                taken_new.add(j)
+    out += [("REMOVED", f, "") for i, (f, _) in enumerate(olds) if i not in taken_old]
+    return out + [("ADDED", "", f) for j, (f, _) in enumerate(news) if j not in taken_new]
+
+
+EVENT_DDL = "history string, key string, change_kind string, field_before string, field_after string"
+
+
+def _clean(s: str) -> str:
+    return s.encode("utf-8", "replace").decode()
+
+
+def _fold_batches(sample: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        history, fold = None, None
+
+        def batch() -> pa.RecordBatch:
+            rows = [(history, *map(_clean, r)) for r in fold.out] if fold else []
+            if fold:
+                fold.out = []
+            cols = list(zip(*rows)) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["history", "key", "change_kind", "field_before", "field_after"])
+
+        for b in batches:
+            for h, summary in zip(b.column("history").to_pylist(), b.column("summary")):
+                if fold is None or h != history:
+                    if fold:
+                        fold.end()
+                        yield batch()
+                    history, fold = h, Fold(sample)
+                fold.add(*pickle.loads(summary.as_py()))
+                if len(fold.out) > 10_000:
+                    yield batch()
+        if fold:
+            fold.end()
+        yield batch()
+
+    return run
 
 
-def changes(df: DataFrame, key: str = "manifest_id", history: str = "repository", order: str = "written_at", loaded: str = "loaded_at", body: str = "body", block: int = BLOCK) -> DataFrame:
-    """(key, change_kind, field_before, field_after): each lasting change of a history, at the first body that shows it."""
-    if block < 2 * HALO:
-        raise ValueError(f"a block has at least {2 * HALO} rows")
-    return _changes(profile(df, key, history, order, loaded, body), block).withColumnRenamed("key", key)
+def _bodies(df: DataFrame, key: str, history: str, order: str, loaded: str, body: str) -> DataFrame:
+    """(key, history, at, body), one row per key; staged, as range partitioning reads it twice."""
+    cols = df.select(F.col(key).cast("string").alias("key"), F.col(history).cast("string").alias("history"), F.col(order).cast("timestamp").alias("at"), F.col(loaded).alias("loaded"), F.col(body).cast("string").alias("body"))
+    return stage(latest(cols, "key", "loaded").select("key", "history", "at", "body"), "bodies")
 
 
-def _changes(rows: DataFrame, block: int) -> DataFrame:
-    b, r = F.floor(F.col("seq") / block), F.col("seq") % block
-    home = F.array(b, F.when((r < HALO) & (b > 0), b - 1), F.when(r >= block - HALO, b + 1))
-    spread = stage(rows.withColumn("block", F.explode(F.array_compact(home))).withColumn("own", F.col("block") == b), "drift")
-    ends = spread.groupBy("history", "block").applyInPandas(_block_end, "history string, block long, f string, kind string, there boolean")
-    shown = spread.where("own").select("history", "block", F.explode("fields.f").alias("f")).distinct().join(ends, ["history", "block", "f"], "left")
-    past = Window.partitionBy("history", "f").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = shown.select(F.col("history").alias("h"), F.col("block").alias("b"), "f", *[F.last(c, ignorenulls=True).over(past).alias(c) for c in ("kind", "there")])
-    carried = carried.where("kind is not null or there is not null")
-    # the rows that overlap into a block are judged again there, but only its own rows give changes
-    return spread.groupBy("history", "block").cogroup(carried.groupBy("h", "b")).applyInPandas(_block_changes, "key string, change_kind string, field_before string, field_after string")
+def _events(rows: DataFrame, block: int, sample: int) -> DataFrame:
+    """EVENT_DDL: the changes of each history, and each of its fields (FIELD)."""
+    order = ["history", "at", "key"]
+    laid = rows.where("history is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    summaries = laid.select("history", "at", "key", "body").mapInArrow(_summary_batches(block, sample), "history string, at timestamp, key string, summary binary")
+    return summaries.repartition("history").sortWithinPartitions(*order).mapInArrow(_fold_batches(sample), EVENT_DDL)
 
 
-def field_classes(found: DataFrame) -> dict[str, str]:
-    """Name -> name of its column, from the renames of all histories; an older name leads.
+def changes(df: DataFrame, key: str = "manifest_id", history: str = "repository", order: str = "written_at", loaded: str = "loaded_at", body: str = "body", block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+    """(key, change_kind, field_before, field_after): each lasting change of a history, at the first body that shows it.
 
-    Distinct pairs of field names come to the driver; more than NAME_LIMIT of them are an error.
+    The result is the same for every ``block``.
     """
-    pairs = found.where("change_kind = 'RENAMED'").groupBy("field_before", "field_after").count().limit(NAME_LIMIT + 1).collect()
-    if len(pairs) > NAME_LIMIT:
-        raise ValueError("more than NAME_LIMIT renames")
+    if block < 1 or sample < 1:
+        raise ValueError("a block has at least one row, and a sample one value")
+    events = _events(_bodies(df, key, history, order, loaded, body), block, sample)
+    return events.where("change_kind <> 'FIELD'").select(F.col("key").alias(key), "change_kind", "field_before", "field_after")
+
+
+def columns_of(pairs: list[tuple[str, str]], columns: list[str]) -> list[tuple[str, str]]:
+    """(field, column) of the fields that renames join to one of the columns, the first of them in their order; columns keep their own."""
     lead: dict[str, str] = {}
 
     def top(x: str) -> str:
@@ -281,51 +489,88 @@ def field_classes(found: DataFrame) -> dict[str, str]:
             x = lead[x]
         return x
 
-    weight = Counter()
-    for r in pairs:
-        weight[r["field_before"]] += r["count"]
-    for r in sorted(pairs, key=lambda r: (-r["count"], r["field_before"], r["field_after"])):
-        a, b = top(r["field_before"]), top(r["field_after"])
+    for a, b in sorted(pairs):
+        a, b = top(a), top(b)
         if a != b:
-            a, b = sorted((a, b), key=lambda x: (-weight[x], x))
-            lead[b] = a
-    return {x: top(x) for r in pairs for x in (r["field_before"], r["field_after"])}
+            lead[max(a, b)] = min(a, b)
+    owner: dict[str, str] = {}
+    for c in columns:
+        owner.setdefault(top(c), c)
+    own = set(columns)
+    return sorted((f, owner[top(f)]) for f in {x for p in pairs for x in p} if f not in own and top(f) in owner)
 
 
-def _unify_batches(classes: dict[str, str], columns: list[str]):
+def _column_batches(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(h, *c) for h, pairs in zip(b.column("history").to_pylist(), b.column("pairs").to_pylist()) for c in columns_of([(p["b"], p["a"]) for p in pairs], columns)]
+            cols = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["history", "field", "column"])
+
+    return run
+
+
+def place(body: dict, names: dict[str, tuple[str, bool]], columns: list[str]) -> tuple[dict, dict]:
+    """(values by column, other values by field).  ``names``: column of a field, and whether this history itself says so.
+
+    A column takes the field of its own name, else the one this history renamed, else one renamed elsewhere; where
+    several fields have the same claim to a column, and for whatever finds its column taken, the value stays under its own name.
+    """
+    claims: dict[str, dict[int, list[str]]] = {}
+    for f, x in body.items():
+        c, rank = (f, 0) if f in columns else (names[f][0], 1 if names[f][1] else 2) if f in names else (None, 3)
+        if c is not None and (x is not None or rank == 0):
+            claims.setdefault(c, {}).setdefault(rank, []).append(f)
+    taken: dict[str, object] = {}
+    used = set()
+    for c, ranks in claims.items():
+        for rank in sorted(ranks):
+            if len(ranks[rank]) > 1:
+                break
+            f = ranks[rank][0]
+            if body[f] is not None or len(ranks) == 1:
+                taken[c] = body[f]
+                used.add(f)
+                break
+    return taken, {f: x for f, x in body.items() if f not in used and not (f in columns and x is None)}
+
+
+def _unify_batches(columns: list[str]):
     def text(v: object) -> str | None:
-        out = None if v is None else v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False)
-        return None if out is None else out.encode("utf-8", "replace").decode()
+        return None if v is None else _clean(v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list] = [[] for _ in columns]
             rest, ok = [], []
-            for body in b.column("body").to_pylist():
+            for body, names in zip(b.column("body").to_pylist(), b.column("names").to_pylist()):
                 v = read_object(body)
                 ok.append(v is not None)
-                own: dict[str, str | None] = {}
-                for f, x in (v or {}).items():
-                    name = classes.get(f, f)
-                    if own.get(name) is None or f == name:
-                        own[name] = text(x)
+                taken, other = place(v or {}, {n["field"]: (n["column"], n["own"]) for n in names or ()}, columns)
                 for c, col in zip(columns, rows):
-                    col.append(own.pop(c, None))
-                rest.append(json.dumps(own, sort_keys=True, ensure_ascii=False).encode("utf-8", "replace").decode() if own else None)
+                    col.append(text(taken.get(c)))
+                rest.append(_clean(json.dumps({f: text(x) for f, x in other.items()}, sort_keys=True, ensure_ascii=False)) if other else None)
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("history"), b.column("at"), pa.array(ok, pa.bool_()), *[pa.array(r, pa.string()) for r in rows], pa.array(rest, pa.string())], names=["key", "history", "at", "readable", *[f"c{i}" for i in range(len(columns))], "rest"])
 
     return run
 
 
-def unify(df: DataFrame, columns: list[str], key: str = "manifest_id", history: str = "repository", order: str = "written_at", loaded: str = "loaded_at", body: str = "body", block: int = BLOCK) -> DataFrame:
+def unify(df: DataFrame, columns: list[str], key: str = "manifest_id", history: str = "repository", order: str = "written_at", loaded: str = "loaded_at", body: str = "body", block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """All bodies as one table: key, history, order, ``readable``, each of ``columns`` as text, and ``rest`` (JSON of other fields).
 
-    A field goes into the column of the name it was renamed from anywhere in the table.
+    A field goes into the column that the renames of its own history join it to, or else into the one that most other
+    histories do; no value is lost (see ``place``).
     """
-    classes = field_classes(changes(df, key, history, order, loaded, body, block))
-    lead = {classes.get(c, c): c for c in columns}
-    classes = {f: lead.get(c, c) for f, c in classes.items()}
-    cols = df.select(F.col(key).cast("string").alias("key"), F.col(history).cast("string").alias("history"), F.col(order).cast("timestamp").alias("at"), F.col(loaded).alias("loaded"), F.col(body).cast("string").alias("body"))
+    rows = _bodies(df, key, history, order, loaded, body)
+    events = stage(_events(rows, block, sample), "drift")
+    pairs = events.where("change_kind = 'RENAMED'").groupBy("history").agg(F.collect_set(F.struct(F.col("field_before").alias("b"), F.col("field_after").alias("a"))).alias("pairs"))
+    own = stage(pairs.mapInArrow(_column_batches(columns), "history string, field string, column string"), "columns")
+    votes = own.groupBy("field", "column").agg(F.count("*").alias("n"))
+    most = Window.partitionBy("field").orderBy(F.desc("n"), "column")
+    votes = votes.withColumn("_n", F.row_number().over(most)).where("_n = 1").select("field", "column")
+    shown = events.where("change_kind = 'FIELD'").select("history", F.col("field_before").alias("field")).distinct()
+    elsewhere = join_hot(shown.join(own.select("history", "field"), ["history", "field"], "left_anti"), votes, ["field"]).select("history", "field", "column", F.lit(False).alias("own"))
+    names = own.withColumn("own", F.lit(True)).unionByName(elsewhere).groupBy("history").agg(F.collect_list(F.struct("field", "column", "own")).alias("names"))
     ddl = "key string, history string, at timestamp, readable boolean, " + ", ".join(f"c{i} string" for i in range(len(columns))) + ", rest string"
-    out = latest(cols, "key", "loaded").select("key", "history", "at", "body").mapInArrow(_unify_batches(classes, columns), ddl)
+    out = join_hot(rows, names, ["history"], "left", by=["key"]).select("key", "history", "at", "body", "names").mapInArrow(_unify_batches(columns), ddl)
     return out.select(F.col("key").alias(key), F.col("history").alias(history), F.col("at").alias(order), "readable", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "rest")

@@ -28,6 +28,17 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "
     return laid.join(parts, on).withColumn(out, (F.col("_base") + F.col("_mid")).cast("long")).drop("_mid", "_pid", "_p", "_base", *[f"_k_{k}" for k in keys])
 
 
+def join_hot(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None, salt: int = 32) -> DataFrame:
+    """Joins ``many`` with ``few``, which has one row per key; how: inner, left, left_semi or left_anti.
+
+    A key that stands in a large part of ``many`` is spread over ``salt`` tasks by its columns ``by`` (all others than
+    ``on``, where none are given), to each of which its one row of ``few`` is sent.
+    """
+    by = by or [c for c in many.columns if c not in on]
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salt)).cast("int")).join(spread, [*on, "_salt"], how).drop("_salt")
+
+
 def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     """One row per non-null ``key``: the one with the greatest ``by``, then the greatest other columns.
 
