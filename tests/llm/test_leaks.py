@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
+
+import numpy as np
 
 from factloom.llm import leaks as L
 
@@ -77,3 +80,23 @@ def test_words_in_order():
 def test_empty(spark):
     _, p, items = setup()
     assert run(spark, [], items) == set() and run(spark, [(1, p[0])], []) == set()
+
+
+def test_rolling_hashes_are_those_of_the_runs():
+    rnd = np.random.default_rng(1)
+    x = rnd.integers(0, 3, 400)
+    for s in range(1, 40):
+        h = L.rolled(x, s)
+        seen = {}
+        assert len(h) == 400 - s + 1
+        for i, v in enumerate(h.tolist()):
+            assert seen.setdefault(v, tuple(x[i : i + s])) == tuple(x[i : i + s])
+        assert len(seen) == len({tuple(x[i : i + s]) for i in range(len(h))})
+
+
+def test_repeated_words_take_no_time():
+    began = time.process_time()
+    assert sum(n for _, _, n in L.tile([1] * 100, [1] * 200_000)) == 100
+    assert L.in_order([(3 * k, 3 * k, 3) for k in range(100_000)]) == 300_000
+    assert time.process_time() - began < 10
+    assert L.words_of("a <" + "b" * 5000 + "> c") == ["a", "c"]
