@@ -39,6 +39,28 @@ def join_hot(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner",
     return many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salt)).cast("int")).join(spread, [*on, "_salt"], how).drop("_salt")
 
 
+HOT_PARTS, HOT_LEAST = 4096, 10_000
+
+
+def join_counted(many: DataFrame, few: DataFrame, on: list[str], n: str, by: list[str] | None = None, least: int = HOT_LEAST, salt: int = 32) -> DataFrame:
+    """Joins ``many`` with ``few``, which has one row per key and in ``n`` how many rows of ``many`` have it at most.
+
+    Keys with at least ``least`` rows and more than one in HOT_PARTS of all are spread over ``salt`` tasks by the columns
+    ``by`` of ``many``; as their rows add up to all, there are fewer than HOT_PARTS of them, which are broadcast.
+    ``few`` is read twice, so it should be staged.
+    """
+    total, top = few.agg(F.sum(n), F.max(n)).first()
+    limit = max(least, (total or 0) // HOT_PARTS + 1)
+    if top is None or top < limit:
+        return many.join(few, on)
+    hot = few.where(F.col(n) >= limit).select(*[F.col(c).alias("_h_" + c) for c in on], F.lit(True).alias("_hot"))
+    match = reduce(lambda a, b: a & b, [F.col(c) == F.col("_h_" + c) for c in on])
+    part = F.pmod(F.xxhash64(*(by or [c for c in many.columns if c not in on])), F.lit(salt)).cast("int")
+    split = many.join(F.broadcast(hot), match, "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot", *["_h_" + c for c in on])
+    spread = few.withColumn("_salt", F.explode(F.when(F.col(n) >= limit, F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))))
+    return split.join(spread, [*on, "_salt"]).drop("_salt")
+
+
 def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     """One row per non-null ``key``: the one with the greatest ``by``, then the greatest other columns.
 

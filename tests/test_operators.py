@@ -244,3 +244,17 @@ def test_files(spark, tmp_path):
     assert {r["path"] for r in files.scan(spark, str(tmp_path / "in"), glob="*.md").collect()} == {"sub/b.md"}
     t = spark.createDataFrame([("k", "abab ééab")], "id string, t string")
     assert [(r["byte_start"], r["byte_end"]) for r in files.locate(t, "id", "t", "ab", 5).orderBy("byte_start").collect()] == [(0, 2), (2, 4), (9, 11)] and files.locate(t, "id", "t", "ab", 2).count() == 0
+
+
+def test_joins_of_hot_keys(spark):
+    from factloom.operators.ordering import join_counted, join_hot
+
+    many = spark.range(300).selectExpr("cast(if(id % 3 = 0, 7, id) as string) as k", "id as v", "id % 2 as w")
+    few = many.groupBy("k").count().where("k <> '8'").withColumnRenamed("count", "n").withColumn("x", F.concat("k", F.lit("!")))
+    want = sorted(tuple(r) for r in many.join(few, "k").select("k", "v", "x", "n").collect())
+    for least in (1, 50, 10_000):
+        got = join_counted(many, few, ["k"], "n", by=["v"], least=least).select("k", "v", "x", "n")
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert sorted(tuple(r) for r in join_hot(many, few, ["k"]).select("k", "v", "x", "n").collect()) == want
+    assert join_hot(many, few, ["k"], "left").count() == 300 and join_hot(many, few, ["k"], "left_anti").count() == 1
+    assert join_counted(many, few.where("false"), ["k"], "n").count() == 0
