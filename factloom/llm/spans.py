@@ -10,8 +10,11 @@
    anchors.
 3. Anchors with few occurrences are extended pair by pair.  For the others
    (an anchor may stand in a third of all rows) equal surroundings are first
-   collapsed and the ``min_chars`` windows around the anchor counted by hash,
-   which gives the same positions without pairs.
+   collapsed; the ``min_chars`` windows around the anchor find the surroundings
+   to extend against by hash, one for each class of equal windows, and all
+   characters of a run of such windows are then compared with that one's.
+   Should texts of one class differ, it is divided by text.  This gives the same
+   positions as pairs do.
 4. The stretches of an id are merged to longest runs.
 
 Defined results: null ids and null texts are ignored; texts below ``min_chars``
@@ -26,9 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.ordering import join_counted
 from factloom.runtime import stage
 
 PAIR_LIMIT = 32
@@ -247,12 +251,14 @@ def _pair_batches(k: int, side: int, least: int):
     return run
 
 
-def _window_batches(k: int, least: int):
+def _window_batches(k: int, least: int, bits: int):
+    mask = np.uint64((1 << bits) - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             for h, off, cid, mn, mx, ctx in zip(*(b.column(c).to_pylist() for c in ("h", "off", "cid", "mn", "mx", "ctx"))):
-                wh = gram_hashes(code_points(ctx), least).view(np.int64)
+                wh = (gram_hashes(code_points(ctx), least) & mask).view(np.int64)
                 j = np.arange(len(wh), dtype=np.int64)
                 fits = (j <= off) & (j + least >= off + k)  # the window holds the anchor
                 wh, j = wh[fits], j[fits]
@@ -275,13 +281,56 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return marked.withColumn("island", F.sum("new").over(upto)).groupBy("id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("id", "s", "e")
 
 
-def shared_spans(df: DataFrame, id_col: str = "id", text_col: str = "text", min_chars: int = 200, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def _alike(own: str, a: str, other: str, b: str, size: str) -> Column:
+    """Whether ``size`` characters of ``own`` from ``a`` on are those of ``other`` from ``b`` on."""
+    return F.col(own).substr(F.col(a).cast("int") + 1, F.col(size).cast("int")) == F.col(other).substr(F.col(b).cast("int") + 1, F.col(size).cast("int"))
+
+
+def _hot_spans(hot: DataFrame, k: int, least: int, bits: int) -> DataFrame:
+    """(id, s, e) of the occurrences of frequent anchors, without pairs."""
+    around = ["h", "off", "cid"]
+    alike = stage(hot.groupBy(*around).agg(F.min("k1").alias("mn"), F.max("k1").alias("mx"), F.max("ctx").alias("ctx"), F.count("*").alias("n")), "alike")
+    windows = stage(alike.select(*around, "mn", "mx", "ctx").mapInArrow(_window_batches(k, least, bits), "h long, off long, cid long, mn long, mx long, j long, wh long"), "windows")
+    classes = windows.groupBy("h", "wh").agg(F.min("mn").alias("lo"), F.max("mx").alias("hi"), F.min(F.struct("off", "cid", "j")).alias("one"), F.count("*").alias("n"))
+    classes = stage(classes.where("lo <> hi").select("h", "wh", "one", "n"), "classes")
+    # at most min_chars - K + 1 windows hold an anchor; a run of them is compared with the run of one other
+    met = stage(join_counted(windows, classes, ["h", "wh"], "n", by=["off", "cid", "j"]).select(*around, "wh", "j", F.col("one.off").alias("r_off"), F.col("one.cid").alias("r_cid"), (F.col("j") - F.col("one.j")).alias("d")), "met")
+    texts = alike.select(*around, "ctx")
+    one = [F.col("off").alias("r_off"), F.col("cid").alias("r_cid"), F.col("ctx").alias("r_ctx")]
+
+    def runs_of(met: DataFrame, keys: list[str]) -> DataFrame:
+        js = met.groupBy(*keys).agg(F.array_sort(F.collect_set("j")).alias("js"))
+        a, b = F.filter("js", lambda j: ~F.array_contains("js", j - 1)), F.filter("js", lambda j: ~F.array_contains("js", j + 1))
+        return js.select(*keys, F.explode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("r")).select(*keys, F.col("r.a").alias("a"), F.col("r.b").alias("b"))
+
+    runs = runs_of(met, [*around, "r_off", "r_cid", "d"])
+    ones = runs.groupBy("h", "r_off", "r_cid").agg(F.count("*").alias("m"))
+    ones = stage(ones.join(texts.select("h", *one), ["h", "r_off", "r_cid"]), "ones")
+    compared = join_counted(runs.join(texts, around), ones, ["h", "r_off", "r_cid"], "m", by=["off", "cid", "a"])
+    compared = compared.withColumn("size", F.col("b") - F.col("a") + least).withColumn("ra", F.col("a") - F.col("d"))
+    compared = stage(compared.select(*around, "a", "b", _alike("ctx", "a", "r_ctx", "ra", "size").alias("same")), "compared")
+    good = compared.where("same")
+    wrong = compared.where("not same")
+    if wrong.limit(1).count():
+        # different texts of one hash: their classes are divided by text
+        split = wrong.select(*around, F.explode(F.sequence("a", "b")).alias("j")).join(windows, [*around, "j"]).select("h", "wh").distinct()
+        by_text = windows.join(split, ["h", "wh"]).join(texts, around).withColumn("text", F.col("ctx").substr(F.col("j").cast("int") + 1, F.lit(least)))
+        equal = by_text.groupBy("h", "text").agg(F.min("mn").alias("lo"), F.max("mx").alias("hi")).where("lo <> hi").select("h", "text")
+        rest = met.join(split, ["h", "wh"], "left_anti").select(*around, "j").unionByName(by_text.join(equal, ["h", "text"]).select(*around, "j"))
+        good = runs_of(rest, around)
+    offsets = good.groupBy(*around).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    offsets = stage(offsets.join(alike.select(*around, "n"), around), "offsets")
+    wide = join_counted(hot.select("id", "s", *around), offsets, around, "n", by=["id", "s"]).select("id", "s", F.explode("runs").alias("r"))
+    return wide.select("id", (F.col("s") + F.col("r.a")).alias("s"), (F.col("s") + F.col("r.b") + least).alias("e"))
+
+
+def shared_spans(df: DataFrame, id_col: str = "id", text_col: str = "text", min_chars: int = 200, pair_limit: int = PAIR_LIMIT, hash_bits: int = 64) -> DataFrame:
     """Longest runs of characters of a text that lie in stretches of at least
     ``min_chars`` which also stand under another id.
 
     Returns (source_id string, start_char long, end_char long), end exclusive.
     Anchors with more than ``pair_limit`` occurrences go the way without pairs;
-    the result is the same for every limit.
+    the result is the same for every limit, and for every number of bits that windows are hashed to.
     """
     if min_chars < 2:
         raise ValueError("min_chars must be at least 2")
@@ -292,25 +341,14 @@ def shared_spans(df: DataFrame, id_col: str = "id", text_col: str = "text", min_
     docs = docs.select("id", F.xxhash64("id").alias("k1"), F.hash("id").alias("k2"), "text")
     anchors = stage(docs.select("k1", "k2", "text").mapInArrow(_anchor_batches(k, w), "k1 long, k2 int, h array<long>, pos array<long>"), "anchors")
     flat = anchors.select("k1", "k2", F.arrays_zip("h", "pos").alias("a")).select("k1", "k2", F.explode("a").alias("a")).select("k1", "k2", F.col("a.h").alias("h"), F.col("a.pos").alias("pos"))
-    shared = flat.groupBy("h").agg(F.min("k1").alias("mn"), F.max("k1").alias("mx"), F.count("*").alias("n")).where("mn <> mx").select("h", (F.col("n") > pair_limit).alias("hot"))
-    marks = flat.join(shared, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "pos", "hot")).alias("marks"))
+    shared = flat.groupBy("h").agg(F.min("k1").alias("mn"), F.max("k1").alias("mx"), F.count("*").alias("n")).where("mn <> mx")
+    shared = stage(shared.select("h", (F.col("n") > pair_limit).alias("hot"), "n"), "shared")
+    marks = join_counted(flat, shared, ["h"], "n", by=["k1", "pos"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "pos", "hot")).alias("marks"))
     contexts = stage(docs.join(marks, ["k1", "k2"]).select("id", "k1", "text", "marks").mapInArrow(_context_batches(k, side), CONTEXT_DDL), "contexts")
 
     cold = contexts.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(_pair_batches(k, side, min_chars), "id string, s long, e long")
 
-    hot = contexts.where("hot")
-    alike = hot.groupBy("h", "off", "cid").agg(F.min("k1").alias("mn"), F.max("k1").alias("mx"), F.max("ctx").alias("ctx"))
-    windows = alike.mapInArrow(_window_batches(k, min_chars), "h long, off long, cid long, mn long, mx long, j long, wh long")
-    windows = stage(windows, "windows")
-    common = windows.groupBy("h", "wh").agg(F.min("mn").alias("lo"), F.max("mx").alias("hi")).where("lo <> hi").select("h", "wh")
-    # at most min_chars - K + 1 windows hold an anchor; those next to each other make one run
-    joined = windows.join(common, ["h", "wh"]).groupBy("h", "off", "cid").agg(F.array_sort(F.collect_set("j")).alias("js"))
-    runs = F.filter("js", lambda j: ~F.array_contains("js", j - 1))
-    ends = F.filter("js", lambda j: ~F.array_contains("js", j + 1))
-    offsets = joined.select("h", "off", "cid", F.arrays_zip(runs.alias("a"), ends.alias("b")).alias("runs"))
-    wide = hot.drop("ctx").join(offsets, ["h", "off", "cid"]).select("id", "s", F.explode("runs").alias("r"))
-    wide = wide.select("id", (F.col("s") + F.col("r.a")).alias("s"), (F.col("s") + F.col("r.b") + min_chars).alias("e"))
-    merged = merge_spans(cold.unionByName(wide))
+    merged = merge_spans(cold.unionByName(_hot_spans(contexts.where("hot"), k, min_chars, hash_bits)))
     return merged.select(F.col("id").alias("source_id"), F.col("s").alias("start_char"), F.col("e").alias("end_char"))
 
 

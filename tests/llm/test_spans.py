@@ -38,12 +38,12 @@ def plain(rows, least):
     return out
 
 
-def run(spark, rows, least, limit=S.PAIR_LIMIT):
-    return {tuple(r) for r in S.shared_spans(frame(spark, rows), min_chars=least, pair_limit=limit).collect()}
+def run(spark, rows, least, limit=S.PAIR_LIMIT, bits=64):
+    return {tuple(r) for r in S.shared_spans(frame(spark, rows), min_chars=least, pair_limit=limit, hash_bits=bits).collect()}
 
 
-@pytest.mark.parametrize("limit", [1, 3, 1000])
-def test_random_texts(spark, limit):
+@pytest.mark.parametrize("limit, bits", [(1, 64), (3, 64), (1000, 64), (1, 2), (2, 7)])
+def test_random_texts(spark, limit, bits):
     rnd = random.Random(limit)
     stock = ["".join(rnd.choice("ab é𝄞") for _ in range(60)) for _ in range(6)]
     rows = []
@@ -51,7 +51,7 @@ def test_random_texts(spark, limit):
         t = "".join(rnd.choice([rnd.choice(stock)[rnd.randint(0, 30) :], "".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 40)))]) for _ in range(rnd.randint(0, 5)))
         rows.append((f"d{n}", t))
     rows += [rows[0], rows[1], (None, stock[0]), ("null", None), ("empty", ""), ("run1", "x" * 90), ("run2", "x" * 33), ("own", "pq" * 50)]
-    assert run(spark, rows, 20, limit) == plain(rows, 20)
+    assert run(spark, rows, 20, limit, bits) == plain(rows, 20)
 
 
 def test_long_texts_are_read_in_parts(spark, monkeypatch):
