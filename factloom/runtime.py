@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -36,16 +37,20 @@ def ship(spark: SparkSession) -> None:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     base = shared_dir(spark)
-    folder = base.removeprefix("file://") if base.startswith(("file://", "/")) else tempfile.mkdtemp(prefix="factloom-")  # the driver serves it
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"factloom-{uuid.uuid4().hex}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, names in os.walk(here):
             for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(root, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
-    context.addPyFile(path)
+    # written by Hadoop's file system, so it lies in the shared folder whatever scheme that has, a bare path included
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{base}/factloom-{uuid.uuid4().hex}.zip")
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(fs.makeQualified(path).toString())
     _shipped.add(context.applicationId)
 
 
@@ -59,16 +64,37 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _staged.append((spark.sparkContext.applicationId, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more, as those of earlier rounds of a loop."""
+    for df in tables:
+        path = df.staged_path
+        _delete(df.sparkSession, path)
+        _staged[:] = [x for x in _staged if x[1] != path]
+
+
+def restage(df: DataFrame, old: DataFrame, name: str = "stage") -> DataFrame:
+    """Stages ``df``, the next round of ``old``, which is deleted once it is written, if it was staged itself."""
+    new = stage(df, name)
+    if "staged_path" in old.__dict__:
+        unstage(old)
+    return new
 
 
 def release(spark: SparkSession) -> int:
     """Deletes the tables that this session has staged so far; results that read them have to be written before."""
     mine = [p for a, p in _staged if a == spark.sparkContext.applicationId]
-    jvm = spark.sparkContext._jvm
     for p in mine:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
     _staged[:] = [x for x in _staged if x[1] not in set(mine)]
     return len(mine)
 

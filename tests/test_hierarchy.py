@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import hierarchy as H
 
@@ -62,6 +63,26 @@ def test_random_forests_with_rings(spark, seed):
         assert inside == {m for m, p in paths.items() if n in p and m != n}
 
 
+def test_paths_and_descendants_over_blocks(spark):
+    rows = [("r", None), *((f"c{i}", f"c{i - 1}" if i else "r") for i in range(30)), *((f"s{i}", f"c{i % 3}") for i in range(20)), ("x", "y"), ("y", "x"), ("z", "x")]
+    _, full = build(spark, rows)
+    ring, paths = plain(rows)
+    ids = {r["v"]: r["id"] for r in full.collect()}
+    for block in (1, 3, 1000):
+        assert {ids[r["v"]]: r["path"].split("/") for r in H.paths(full, block).collect()} == paths
+        got = sorted(tuple(r)[1:] for r in H.descendants(full, F.col("id") != "c4", block).collect())
+        assert got == sorted((a, n, len(p) - 1 - i) for n, p in paths.items() for i, a in enumerate(p[:-1]) if a != "c4")
+
+
+def test_hot_parents_are_spread(spark, monkeypatch):
+    rows = [("hub", None), *((f"s{i}", "hub") for i in range(60)), *((f"t{i}", "s3") for i in range(40)), *((f"q{i}", f"q{(i + 1) % 5}") for i in range(5))]
+    monkeypatch.setattr(H, "HOT_LEAST", 2)
+    rings, full = build(spark, rows)
+    ring, paths = plain(rows)
+    assert {r["id"]: r["cycle_key"] for r in rings.collect()} == ring
+    assert {r["node_id"]: r["path"].split("/") for r in H.report(full).collect()} == paths
+
+
 def test_long_chain_and_wide_star(spark):
     rows = [("c0", None), *((f"c{i}", f"c{i - 1}") for i in range(1, 300)), *((f"s{i}", "c0") for i in range(300))]
     rings, full = build(spark, rows)
