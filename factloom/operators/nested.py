@@ -6,13 +6,18 @@ object.  Types that are the root, repeat, are objects below several parents or
 lie on a cycle of the graph get a table; all other types are inlined into the
 table of their parent, as columns named by their path.  A second pass writes
 the rows; each keeps its record, its number in the record, and table, number
-and path of the row it hangs on.
+and path of the row it hangs on.  Where two members of one object mean the same
+column (``startByte`` and ``start_byte``), the second value stands in a column of
+the same name with ``#2``, and so on.
 
 Defined results: null keys and unreadable or non-object bodies give no row
 (a body that is a JSON string of JSON counts as what it holds); of repeated
 keys the row loaded last counts; nulls and empty arrays are absent members;
 arrays in arrays count as one array; an empty table gives empty results;
-further columns are ignored.  A schema of more than EDGE_LIMIT edges is an error.
+further columns are ignored.  Only edges to objects and repeated members come to
+the driver; should they be more than EDGE_LIMIT (as where keys are data), it is
+decided where they stand: members of arrays, and objects inside an object of
+their own type, are rows, and all others are inlined.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.ordering import latest
@@ -153,8 +158,19 @@ def _text(v: object) -> str:
     return _clean(v) if isinstance(v, str) else json.dumps(v)
 
 
-def flatten(record: dict, tables: set[str]) -> list[tuple]:
-    """Rows (table, row, parent table, parent row, path, ordinal, columns) of one record."""
+def _put(cols: dict[str, str], path: str, value: str) -> None:
+    """Adds a column; other values of the same path are numbered."""
+    name, n = path, 1
+    while cols.setdefault(name, value) != value:
+        n += 1
+        name = f"{path}#{n}"
+
+
+def flatten(record: dict, tables: set[str] | None) -> list[tuple]:
+    """Rows (table, row, parent table, parent row, path, ordinal, columns) of one record.
+
+    Without ``tables`` members of arrays and objects inside one of their own type are rows.
+    """
     rows: list[tuple] = []
     counts: dict[tuple[int, str], int] = {}
 
@@ -174,7 +190,7 @@ def flatten(record: dict, tables: set[str]) -> list[tuple]:
             c = type_name(name)
             path = prefix + c
             for z in _items(y):
-                if c in tables:
+                if c in tables if tables is not None else isinstance(y, list) or isinstance(z, dict) and (c == t or c in prefix.split(".")):
                     own, no = new(c, (t, row), path)
                     if isinstance(z, dict):
                         later.append((z, c, no, own, ""))
@@ -183,12 +199,12 @@ def flatten(record: dict, tables: set[str]) -> list[tuple]:
                 elif isinstance(z, dict):
                     later.append((z, t, row, cols, path + "."))
                 else:
-                    cols.setdefault(_clean(path), _text(z))
+                    _put(cols, _clean(path), _text(z))
         todo += reversed(later)
     return rows
 
 
-def _row_batches(tables: set[str]):
+def _row_batches(tables: set[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in _TYPES]
@@ -216,43 +232,85 @@ def schema_graph(df: DataFrame, body: str = "body") -> DataFrame:
     return found.groupBy("parent", "child", "repeats", "object").agg(F.sum("n").alias("n"))
 
 
-def schema_of(df: DataFrame, body: str = "body") -> Schema:
-    edges = schema_graph(df, body).limit(EDGE_LIMIT + 1).collect()
-    if len(edges) > EDGE_LIMIT:
-        raise ValueError("the schema graph has more than EDGE_LIMIT edges")
-    return analyse([tuple(e) for e in edges])
+def schema_of(df: DataFrame, body: str = "body", limit: int = EDGE_LIMIT) -> Schema | None:
+    """The schema by its edges to objects and repeated members; none if there are more than ``limit`` of these."""
+    edges = schema_graph(df, body)
+    branching = F.max((F.col("repeats") | F.col("object")).cast("int")).over(Window.partitionBy("child")) == 1
+    edges = edges.withColumn("_b", branching).where("_b").drop("_b").limit(limit + 1).collect()
+    return None if len(edges) > limit else analyse([tuple(e) for e in edges])
 
 
-#: Types of the documentation records that may repeat, whether they do so in a table or not.
-LINK_TABLES = ("fragment", "sourceId", "dependencyId", "source")
+@dataclass
+class Relations:
+    """Rows of all tables (ROW_DDL), and the types that have one (none: decided where they stand)."""
 
+    rows: DataFrame
+    tables: set[str] | None
 
-def relations(df: DataFrame, key: str, body: str = "body", loaded: str = "loaded_at", declared: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of all tables (ROW_DDL), staged; ``table_of`` gives one of them with its columns.
 
-    ``declared`` types get a table even if the schema graph does not ask for one.
-    """
-    tables = set(schema_of(df, body).tables) | set(declared)
-    return stage(_bodies(df, key, body, loaded).mapInArrow(_row_batches(tables), ROW_DDL), "relations")
+def relations(df: DataFrame, key: str, body: str = "body", loaded: str = "loaded_at", limit: int = EDGE_LIMIT) -> Relations:
+    """All tables of the records, staged; ``table_of`` gives one of them with its columns."""
+    schema = schema_of(df, body, limit)
+    tables = None if schema is None else set(schema.tables)
+    return Relations(stage(_bodies(df, key, body, loaded).mapInArrow(_row_batches(tables), ROW_DDL), "relations"), tables)
 
 
-def table_of(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    """One table: key (record_id, row_no), foreign key (parent_table, parent_row), ordinal and its columns as text."""
-    return rows.where(F.col("table_name") == name).select("record_id", "row_no", "parent_table", "parent_row", "path", "ordinal", *[F.element_at("cols", c).alias(c) for c in columns])
+def table_of(found: Relations, name: str, columns: list[str]) -> DataFrame:
+    """One table: key (record_id, row_no), foreign key (parent_table, parent_row), ordinal and its columns as text.
+
+    A type that is inlined comes out of the rows that hold it, whose number it has, and hangs on them.
+    """
+    keys = ["record_id", "row_no", "parent_table", "parent_row", "path", "ordinal"]
+    own = found.rows.where(F.col("table_name") == name).select(*keys, *[F.element_at("cols", c).alias(c) for c in columns])
+    if found.tables is None or name in found.tables:
+        return own
+    end = rf"^(?:.*\.)?{name}"
+    rows = found.rows.withColumn("_at", F.explode(F.array_distinct(F.transform(F.filter(F.map_keys("cols"), lambda k: k.rlike(end + r"(\.|#|$)")), lambda k: F.regexp_extract(k, end, 0)))))
+    held = [F.coalesce(F.element_at("cols", F.concat("_at", F.lit("." + c))), *([F.element_at("cols", F.col("_at"))] if c == VALUE else [])).alias(c) for c in columns]
+    return own.unionByName(rows.select("record_id", "row_no", F.col("table_name").alias("parent_table"), F.col("row_no").alias("parent_row"), F.col("_at").alias("path"), F.lit(0).alias("ordinal"), *held))
 
 
 def _digits(c: Column) -> Column:
     return F.when(c.rlike(r"^\s*\d+(\.0+)?\s*$"), F.regexp_replace(F.regexp_extract(c, r"^\s*(\d+)", 1), r"^0+(?=\d)", ""))
 
 
-def links(rows: DataFrame) -> DataFrame:
+#: What the types of the documentation records that others refer to are in a link (fixed values).
+LINKS = {"fragment": "FRAGMENT", "sourceId": "SOURCE", "dependencyId": "DEPENDENCY"}
+
+
+def _members(found: Relations) -> DataFrame:
+    """(record_id, kind, name, own, up_row, up, start): each fragment, source id, dependency id and source, in a row of its
+    own (``own``: its number) or inlined; ``up_row`` is the row that holds the fragment it stands in and ``up`` the column of its id there."""
+    kinds = [*LINKS, "source"]
+    values = lambda c: F.filter(F.map_keys("cols"), lambda k: k.rlike(c))
+    starts = F.transform(values(r"^occurrence\.startByte(#\d+)?$"), lambda k: F.element_at("cols", k))
+    above = F.regexp_extract("path", r"^(?:(.*)\.)?[^.]*$", 1)
+    up = F.when(above != "", F.concat(above, F.lit(".id"))).otherwise("id")
+    inside = F.when(above != "", above.rlike(r"(^|\.)fragment$")).otherwise(F.col("parent_table") == "fragment")
+    name = F.coalesce(F.element_at("cols", "id"), F.element_at("cols", VALUE))
+    own = found.rows.where(F.col("table_name").isin(kinds)).select("record_id", F.col("table_name").alias("kind"), name.alias("name"), F.when(inside, F.col("parent_row")).alias("up_row"), F.when(inside, up).alias("up"), starts.alias("start"))
+    inlined = [k for k in kinds if found.tables is not None and k not in found.tables]
+    if not inlined and found.tables is not None:
+        return own
+    # a type without a table, or single values where nothing has: columns of the row that holds it
+    end = rf"^((?:.*\.)?)({'|'.join(inlined or kinds)})(\.id)?(#\d+)?$"
+    rows = found.rows.withColumn("_k", F.explode(values(end)))
+    at, kind = F.regexp_extract("_k", end, 1), F.regexp_extract("_k", end, 2)
+    above = F.regexp_replace(at, r"\.$", "")
+    inside = F.when(above != "", above.rlike(r"(^|\.)fragment$")).otherwise(F.col("table_name") == "fragment")
+    starts = F.transform(F.filter(F.map_keys("cols"), lambda k: k.startswith(F.concat(at, F.lit("source.occurrence.startByte")))), lambda k: F.element_at("cols", k))
+    return own.unionByName(rows.select("record_id", kind.alias("kind"), F.element_at("cols", F.col("_k")).alias("name"), F.when(inside, F.col("row_no")).alias("up_row"), F.when(inside, F.concat(at, F.lit("id"))).alias("up"), starts.alias("start")))
+
+
+def links(found: Relations) -> DataFrame:
     """(record_id, parent_id, link, child_id) of the documentation records: nested fragments, their source
-    and dependency ids, and the start bytes of sources; distinct rows.  ``rows`` come from ``relations`` with LINK_TABLES."""
-    named = F.coalesce(F.element_at("cols", "id"), F.element_at("cols", VALUE)).alias("name")
-    entry = rows.select("record_id", "row_no", "table_name", "parent_table", "parent_row", named, F.coalesce(F.element_at("cols", "occurrence.startByte"), F.lit(None)).alias("start"))
-    parent = entry.where("table_name = 'fragment'").select(F.col("record_id").alias("p_record"), F.col("row_no").alias("p_row"), F.col("name").alias("p_name"))
-    kinds = F.when(F.col("table_name") == "fragment", "FRAGMENT").when(F.col("table_name") == "sourceId", "SOURCE").when(F.col("table_name") == "dependencyId", "DEPENDENCY")
-    hung = entry.withColumn("link", kinds).where("link is not null").join(parent, (F.col("record_id") == F.col("p_record")) & (F.col("parent_row") == F.col("p_row")) & (F.col("parent_table") == "fragment"), "left")
-    hung = hung.where("p_row is not null or link = 'FRAGMENT'").select("record_id", F.when(F.col("p_row").isNull(), F.col("record_id")).otherwise(F.col("p_name")).alias("parent_id"), "link", F.col("name").alias("child_id"))
-    spots = entry.where("table_name = 'source'").select("record_id", F.col("name").alias("parent_id"), F.lit("OCCURRENCE").alias("link"), _digits(F.col("start")).alias("child_id"))
-    return hung.unionByName(spots).where("parent_id is not null and child_id is not null").distinct()
+    and dependency ids, and the start bytes of sources; distinct rows."""
+    members = _members(found)
+    holder = found.rows.select(F.col("record_id").alias("h_record"), F.col("row_no").alias("up_row"), "cols")
+    kind = F.create_map(*[F.lit(x) for kv in LINKS.items() for x in kv])
+    hung = members.where(F.col("kind") != "source").withColumn("link", F.element_at(kind, F.col("kind")))
+    inner = hung.where("up_row is not null").join(holder, (F.col("record_id") == F.col("h_record")) & (hung["up_row"] == holder["up_row"]))
+    inner = inner.select("record_id", F.element_at("cols", F.col("up")).alias("parent_id"), "link", F.col("name").alias("child_id"))
+    outer = hung.where("up_row is null and link = 'FRAGMENT'").select("record_id", F.col("record_id").alias("parent_id"), "link", F.col("name").alias("child_id"))
+    spots = members.where(F.col("kind") == "source").select("record_id", F.col("name").alias("parent_id"), F.lit("OCCURRENCE").alias("link"), F.explode("start").alias("child_id")).withColumn("child_id", _digits(F.col("child_id")))
+    return inner.unionByName(outer).unionByName(spots).where("parent_id is not null and child_id is not null").distinct()

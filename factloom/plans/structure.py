@@ -48,8 +48,8 @@ def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("released", F.when(flag.isin("true", "1", "yes"), True).when(flag.isin("false", "0", "no"), False)).withColumn("ordinal", F.expr("try_cast(ordinal as bigint)"))
 
 
-def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.relations(table(spark, sf_dir, "work_records"), "record_id", declared=nested.LINK_TABLES)
+def _relations(spark: SparkSession, sf_dir: str) -> nested.Relations:
+    return nested.relations(table(spark, sf_dir, "work_records"), "record_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,15 +61,15 @@ def p5_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _relations(spark, sf_dir)
+    found = _relations(spark, sf_dir)
     names = ["id", "textDigest", "occurrence.snapshot", "occurrence.startByte", "occurrence.endByte", "occurrence.generatedOrigin"]
-    out = nested.table_of(rows, "source", names)
+    out = nested.table_of(found, "source", names)
     return out.withColumnsRenamed({n: n.replace(".", "_") for n in names})
 
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and records of each table of the work records."""
-    rows = _relations(spark, sf_dir)
+    rows = _relations(spark, sf_dir).rows
     return rows.groupBy("table_name", "parent_table").agg(F.count("*").alias("n_rows"), F.count_distinct("record_id").alias("n_records"))
 
 

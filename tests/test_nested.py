@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from factloom.operators import nested as N
 
 DDL = "record_id string, body string, loaded_at int, row_no int, name string, key string"
@@ -21,14 +23,37 @@ LINKS = {
 }
 
 
-def links(spark, bodies):
-    return {tuple(x) for x in N.links(N.relations(table(spark, bodies), "record_id", declared=N.LINK_TABLES)).collect()}
+def links(spark, bodies, **kw):
+    return {tuple(x) for x in N.links(N.relations(table(spark, bodies), "record_id", **kw)).collect()}
 
 
 def test_links_of_a_record(spark):
     assert links(spark, [("r", FULL), ("many", {"record": {"fragment": [{"id": "g"}]}, "source": {"id": "q"}})]) == LINKS | {("many", "many", "FRAGMENT", "g")}
 
 
+@pytest.mark.parametrize("limit", [1, 10_000])
+def test_links_without_tables(spark, limit):
+    """Types that never repeat are inlined, and with a schema too large to analyse nothing is; the links are the same."""
+    one = {"record": {"fragment": {"id": "f", "sourceIds": "s", "dependencyIds": {"id": "d"}, "note": {"fragment": {"id": "no"}}}}, "source": {"id": "s", "occurrence": {"startByte": 3}}}
+    assert links(spark, [("r", one)], limit=limit) >= {("r", "r", "FRAGMENT", "f"), ("r", "f", "SOURCE", "s"), ("r", "f", "DEPENDENCY", "d"), ("r", "s", "OCCURRENCE", "3")}
+    plain = {"record": {"fragment": {"id": "f", "sourceIds": "s"}}, "source": {"id": "s"}}
+    assert links(spark, [("r", plain)], limit=limit) == {("r", "r", "FRAGMENT", "f"), ("r", "f", "SOURCE", "s")}
+    assert links(spark, [("r", FULL), ("q", FULL)], limit=limit) == LINKS | {("q", "q" if b == "r" else b, c, d) for _, b, c, d in LINKS}
+
+
+def test_inlined_types_come_out_as_tables(spark):
+    found = N.relations(table(spark, [("r", {"record": {"fragment": {"id": "f", "text": "x"}}}), ("q", {"record": {"fragment": {"id": "g"}}})]), "record_id")
+    assert found.tables == {"root"}
+    rows = N.table_of(found, "fragment", ["id", "text"])
+    assert sorted((r["record_id"], r["parent_table"], r["path"], r["id"], r["text"]) for r in rows.collect()) == [("q", "root", "record.fragment", "g", None), ("r", "root", "record.fragment", "f", "x")]
+
+
+def test_no_value_of_two_spellings_is_lost(spark):
+    body = {"source": [{"id": "s", "occurrence": {"startByte": 1, "start_byte": 2, "endByte": 5, "end_byte": 5}}] * 2}
+    assert links(spark, [("r", body)]) == {("r", "s", "OCCURRENCE", "1"), ("r", "s", "OCCURRENCE", "2")}
+    assert N.flatten({"a_b": 1, "aB": 2, "a-b": 1, "ab": 3, "a b": 4}, {"root"})[0][-1] == {"aB": "1", "aB#2": "2", "ab": "3", "aB#3": "4"}
+
+
 def test_unreadable_repeated_and_double_encoded(spark):
     text = json.dumps(FULL)
     cut = [("a", None), ("b", text[:50]), ("c", "[1, 2]"), ("d", "7"), (None, text), ("r", FULL), ("r", FULL), ("r", json.dumps(text))]
@@ -37,7 +62,7 @@ def test_unreadable_repeated_and_double_encoded(spark):
 
 def test_schema_decides_on_tables(spark):
     s = N.schema_of(table(spark, [("r", FULL), ("q", {"record": {"fragment": [{"id": "g"}]}})]))
-    assert s.tables == {"root": "ROOT", "fragment": "RECURSIVE", "sourceId": "REPEATED", "source": "REPEATED"}
+    assert s.tables == {"root": "ROOT", "fragment": "RECURSIVE", "sourceId": "REPEATED", "source": "REPEATED"} and N.schema_of(table(spark, [("r", FULL)]), limit=2) is None
     wide = N.analyse([("root", "a", False, True, 1), ("root", "b", False, True, 1), ("a", "shared", False, True, 1), ("b", "shared", False, True, 1), ("a", "name", False, False, 1), ("b", "name", False, False, 1)])
     assert wide.tables == {"root": "ROOT", "shared": "SHARED"}
 
