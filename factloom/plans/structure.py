@@ -57,14 +57,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.table_of(_relations(spark, sf_dir), "fragment", ["id", "subject", "text"])
+    return nested.table_of(_relations(spark, sf_dir), "fragment", ["id", "subject", "text"]).drop("row_no", "parent_row", "ordinal")
 
 
 def p5_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _relations(spark, sf_dir)
     names = ["id", "textDigest", "occurrence.snapshot", "occurrence.startByte", "occurrence.endByte", "occurrence.generatedOrigin"]
     out = nested.table_of(found, "source", names)
-    return out.withColumnsRenamed({n: n.replace(".", "_") for n in names})
+    return out.withColumnsRenamed({n: n.replace(".", "_") for n in names}).drop("row_no", "parent_row", "ordinal", "path")
 
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,11 @@ select r.k as record_kind, r.node as node_id, pr.node as parent_id, root_id, dep
 from recs r join p on p.k = r.k and p.key = r.key join below b on b.k = r.k and b.anc = r.key left join tree t on t.k = r.k and t.key = r.key left join cut c on c.k = r.k and c.key = r.key left join recs pr on pr.k = c.k and pr.key = c.up""",
     "p3_descendants": f"with recursive {PATHS_SQL} select u.k as record_kind, a.node as node_id, n.node as descendant_id, dist::bigint as distance from ups u join recs a on a.k = u.k and a.key = u.anc join recs n on n.k = u.k and n.key = u.key where dist > 0 and {ASKED_SQL.format('a.node')}",
     "p5_found": f"with recursive {NESTED_SQL} select distinct record_id, parent_id, link, child_id from links where parent_id is not null and child_id is not null",
+    "p5_fragments": f"""with recursive {NESTED_SQL} select record_id, case when parent_id = record_id then 'root' else 'fragment' end as parent_table, case when parent_id = record_id then 'record.fragment' else 'fragment' end as path,
+ json_extract_string(f, '$.id') as id, json_extract_string(f, '$.subject') as subject, json_extract_string(f, '$.text') as text from own""",
+    "p5_sources": f"""with recursive {NESTED_SQL} select record_id, 'root' as parent_table, json_extract_string(o, '$.id') as id, coalesce(json_extract_string(o, '$.textDigest'), json_extract_string(o, '$.text_digest')) as "textDigest",
+ json_extract_string(o, '$.occurrence.snapshot') as occurrence_snapshot, coalesce(json_extract_string(o, '$.occurrence.startByte'), json_extract_string(o, '$.occurrence.start_byte')) as "occurrence_startByte",
+ coalesce(json_extract_string(o, '$.occurrence.endByte'), json_extract_string(o, '$.occurrence.end_byte')) as "occurrence_endByte", coalesce(json_extract_string(o, '$.occurrence.generatedOrigin'), json_extract_string(o, '$.occurrence.generated_origin')) as "occurrence_generatedOrigin" from src where json_type(o) <> 'NULL'""",
     "p5_tables": f"""with recursive {NESTED_SQL}, l as (select 'root' as table_name, null as parent_table, record_id from raw where json_type(j) = 'OBJECT' union all select 'fragment', case when parent_id = record_id then 'root' else 'fragment' end, record_id from own
   union all select case link when 'SOURCE' then 'sourceId' else 'dependencyId' end, 'fragment', record_id from ids where json_type(v) not in ('ARRAY', 'NULL') union all select 'source', 'root', record_id from src where json_type(o) <> 'NULL')
 select table_name, parent_table, count(*) as n_rows, count(distinct record_id) as n_records from l group by all""",
