@@ -9,7 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 DEPTH, STRINGS = 64, 65_536
 _DIGEST = re.compile(r"sha256:[0-9a-f]{64}\Z")
@@ -101,30 +101,42 @@ WEIGHTS = {
     6: ("name", "declarationKind"),
     0: ("sourceSet", "module", "provider", "schema"),
 }
-_WEIGHT = {k: w for w, keys in WEIGHTS.items() for k in keys}
+LEAF_DEPTH = 32
+
+
+def string_leaves(value: object) -> list[dict[str, str | None]]:
+    """Strings of a value with the key of the member that holds them, at most LEAF_DEPTH levels down."""
+    out: list[dict[str, str | None]] = []
+    level: list[tuple[str | None, object]] = [(None, value)]
+    for _ in range(LEAF_DEPTH + 1):
+        below: list[tuple[str | None, object]] = []
+        for key, v in level:
+            if isinstance(v, str):
+                out.append({"key": key, "value": v})
+            elif isinstance(v, dict):
+                below += v.items()
+            elif isinstance(v, list):
+                below += [(key, x) for x in v]
+        level = below
+    return out
 
 
-def score(value: object, terms: list[str], key: str | None = None, depth: int = 0) -> int:
-    if depth > 32:
-        return 0
-    if isinstance(value, str):
-        low = value.lower()
-        return _WEIGHT.get(key, 1) * sum(t in low for t in terms)
-    if isinstance(value, list):
-        return sum(score(v, terms, key, depth + 1) for v in value)
-    if isinstance(value, dict):
-        return sum(score(v, terms, k, depth + 1) for k, v in value.items())
-    return 0
+@F.pandas_udf(ArrayType(StructType([StructField("key", StringType()), StructField("value", StringType())])))
+def json_leaves(text: pd.Series) -> pd.Series:
+    return _each(text, string_leaves)
 
 
 def weighted_score(text: Column, terms: list[str]) -> Column:
-    """How much a JSON payload has to do with terms, by the keys that their strings stand under."""
+    """How much a JSON payload has to do with terms: the sum of weight x terms held over its strings."""
+    held = lambda leaf: sum((F.contains(F.lower(leaf["value"]), F.lit(t)).cast("long") for t in terms), F.lit(0).cast("long"))
 
-    @F.pandas_udf(LongType())
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([score(v, terms) if ok else 0 for ok, v in map(parse, s)], dtype="int64")
+    def weigh(leaf: Column) -> Column:
+        out = F.lit(1)
+        for w, keys in WEIGHTS.items():
+            out = F.when(leaf["key"].isin(*keys), w).otherwise(out)
+        return out
 
-    return run(text)
+    return F.aggregate(F.coalesce(json_leaves(text), F.array().cast("array<struct<key:string,value:string>>")), F.lit(0).cast("long"), lambda acc, leaf: acc + weigh(leaf) * held(leaf))
 
 
 def members(text: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -92,48 +93,55 @@ def share_equal(local: DataFrame, shared: DataFrame, key: str, content: str, own
     return out.select(owner, key, F.when(F.col("_k").isNotNull() & F.col(content).eqNullSafe(F.col("_c")), "REFERENCE").otherwise("OWN").alias("form"))
 
 
-CELLS, HUNKS = 1_000_000, 64
+CELLS, HUNKS, LINES = 1_000_000, 64, 262_144
 
 
-def line_hunks(old: str | None, new: str | None, cells: int = CELLS, hunks: int = HUNKS) -> tuple[list[tuple[int, int, int, int]], bool]:
-    """(first old line, old lines, first new line, new lines) of each difference, and whether some were left out.
+def _lines(text: str) -> list[str]:
+    """Lines with their line feeds; nothing but a line feed ends a line."""
+    out = [x + "\n" for x in text.split("\n")]
+    out[-1] = out[-1][:-1]
+    return out if out[-1] else out[:-1]
 
-    By longest common subsequence while the table of lines fits ``cells``; else one hunk between common ends.
-    """
-    a, b = (old or "").splitlines(), (new or "").splitlines()
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if not x and not y:
-        return [], False
-    if len(x) * len(y) > cells:
-        return [(head + 1, len(x), head + 1, len(y))], False
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    out: list[list[int]] = []
-    i = j = 0
-    fresh = True
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            i, j, fresh = i + 1, j + 1, True
-            continue
-        if fresh:
-            out.append([head + i + 1, 0, head + j + 1, 0])
-            fresh = False
-        if j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-            out[-1][1] += 1
-        else:
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """(line of a, line of b) of a longest common subsequence; where it is free to choose, lines of ``a`` are left out first."""
+    rows = [[0] * (len(b) + 1)]
+    for x in reversed(a):
+        after, row = rows[-1], [0]
+        for j in range(len(b) - 1, -1, -1):
+            row.append(after[len(b) - j - 1] + 1 if x == b[j] else max(after[len(b) - j], row[-1]))
+        rows.append(row)
+    best = lambda i, j: rows[len(a) - i][len(b) - j]
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best(i, j + 1) > best(i + 1, j):
             j += 1
-            out[-1][3] += 1
-    return [tuple(h) for h in out[:hunks]], len(out) > hunks
+        else:
+            i += 1
+    return out
+
+
+def line_hunks(old: str | None, new: str | None, cells: int = CELLS, hunks: int = HUNKS) -> tuple[list[tuple[int, int, int, int]], str]:
+    """(first old line, old lines, first new line, new lines) of each difference, and the granularity.
+
+    LINES: the gaps of a longest common subsequence.  COARSE_REPLACEMENT: one hunk between common ends, where the table of
+    lines exceeds ``cells`` or there are more than ``hunks`` differences; all of both texts, beyond LINES line feeds.
+    """
+    if max((old or "").count("\n"), (new or "").count("\n")) > LINES:
+        return [(1, len(_lines(old or "")), 1, len(_lines(new or "")))], "COARSE_REPLACEMENT"
+    a, b = _lines(old or ""), _lines(new or "")
+    head = len(os.path.commonprefix([a, b]))
+    tail = len(os.path.commonprefix([a[head:][::-1], b[head:][::-1]]))
+    ends = (len(a) - tail, len(b) - tail)
+    if (len(a) + 1) * (len(b) + 1) <= cells:
+        met = [(-1, -1), *_common(a, b), (len(a), len(b))]
+        found = [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(met, met[1:]) if k > i + 1 or m > j + 1]
+        if len(found) <= hunks:
+            return [(i + 1, k - i, j + 1, m - j) for i, k, j, m in found], "LINES"
+    return [(head + 1, ends[0] - head, head + 1, ends[1] - head)], "COARSE_REPLACEMENT"
 
 
 def text_hunks(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
@@ -143,13 +151,13 @@ def text_hunks(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
         for b in batches:
             rows = []
             for k, x, y in zip(*(b.column(c).to_pylist() for c in ("key", "old", "new"))):
-                found, more = line_hunks(x, y)
-                rows += [(k, n, *h, more) for n, h in enumerate(found)]
+                found, how = line_hunks(x, y)
+                rows += [(k, n, *h, how) for n, h in enumerate(found)]
             cols = list(zip(*rows)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5, pa.bool_()))], names=["key", "hunk", "old_line", "old_lines", "new_line", "new_lines", "truncated"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5, pa.string()))], names=["key", "hunk", "old_line", "old_lines", "new_line", "new_lines", "granularity"])
 
     src = pairs.select(F.col(key).cast("string").alias("key"), F.col(old).alias("old"), F.col(new).alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
-    return src.mapInArrow(run, "key string, hunk long, old_line long, old_lines long, new_line long, new_lines long, truncated boolean").withColumnRenamed("key", key)
+    return src.mapInArrow(run, "key string, hunk long, old_line long, old_lines long, new_line long, new_lines long, granularity string").withColumnRenamed("key", key)
 
 
 def put_objects(catalog: DataFrame, objects: DataFrame, digest: Column) -> DataFrame:

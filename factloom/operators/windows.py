@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,64 +12,84 @@ from pyspark.sql import functions as F
 WHOLE_BYTES, WINDOWS, BYTES, BEFORE, AFTER, ANCHORS = 8192, 4, 24_576, 8, 24, 4
 
 
-def score(line: str, terms: list[str]) -> tuple[int, int]:
+class Lines:
+    """Lines of a text as byte ranges without their line feeds; what follows the last line feed is a line if there is anything."""
+
+    def __init__(self, text: str):
+        self.text = text.split("\n")
+        if len(self.text) > 1 and not self.text[-1]:
+            self.text.pop()
+        self.start = [0, *accumulate(len(x.encode("utf-8", "surrogatepass")) + 1 for x in self.text)]
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def size(self, first: int, last: int) -> int:
+        """Bytes of the lines from ``first`` to ``last`` with the line feeds between them."""
+        return self.start[last] - self.start[first - 1] - 1
+
+    def cut(self, first: int, last: int) -> str:
+        return "\n".join(self.text[first - 1 : last])
+
+
+def _support(line: str, terms: tuple[str, ...]) -> tuple[int, int]:
     """(terms in a line, occurrences)"""
     n = [line.count(t) for t in terms]
-    return sum(x > 0 for x in n), sum(n)
+    return sum(map(bool, n)), sum(n)
+
+
+def _joined(kept: list[tuple[int, int]], new: tuple[int, int]) -> list[tuple[int, int]]:
+    """Intervals in order with one more, which is joined to the last one where they touch."""
+    if kept and new[0] <= kept[-1][1] + 1:
+        return [*kept[:-1], (kept[-1][0], max(kept[-1][1], new[1]))]
+    return [*kept, new]
 
 
 def windows(text: str, terms: list[str], ranges: list[tuple[int, int]], whole: int = WHOLE_BYTES, most: int = WINDOWS, budget: int = BYTES) -> list[tuple[int, int]]:
-    """(first line, last line) of at most ``most`` windows within a budget of bytes.
+    """(first line, last line) of at most ``most`` windows within a budget of bytes; none for an empty text.
 
-    A small text is one window.  Else declarations (first line, last line) are widened, and merged where they
-    touch; without declarations the best line for the terms is; then lines outside that serve terms better than
-    any line inside are added.
+    A small text is one window.  Else declarations (first line, last line) are widened and joined where they touch, as
+    many in their order as go; without declarations the best line for the terms stands for one.  Then lines outside
+    are added that serve their terms better than any line inside, the best first.
     """
-    lines = text.split("\n")
-    if text and len(text.encode("utf-8", "surrogatepass")) <= whole:
+    lines = Lines(text)
+    if not text:
+        return []
+    if lines.start[-1] - (not text.endswith("\n")) <= whole:
         return [(1, len(lines))]
-    low = [x.lower() for x in lines]
-    asked = [t.lower() for t in terms if t]
-    size = [len(x.encode("utf-8", "surrogatepass")) + 1 for x in lines]
-    cost = lambda a, b: sum(size[a - 1 : b])
-    found = sorted((max(1, a - BEFORE), min(len(lines), max(a, b) + AFTER)) for a, b in ranges if 1 <= a <= len(lines))
-    if not found:
-        best = max(range(len(lines)), key=lambda i: (score(low[i], asked), -i)) + 1
-        found = [(max(1, best - BEFORE), min(len(lines), best + AFTER))]
-    out: list[tuple[int, int]] = []
-    used = 0
-    for a, b in found:
-        if out and a <= out[-1][1] + 1:
-            wide = (out[-1][0], max(b, out[-1][1]))
-            if used - cost(*out[-1]) + cost(*wide) > budget:
-                break
-            used += cost(*wide) - cost(*out[-1])
-            out[-1] = wide
-        elif len(out) == most or (out and used + cost(a, b) > budget):
-            break
-        else:
-            out.append((a, b))
-            used += cost(a, b)
-    while ranges and asked and len(out) < most:
-        kept = [low[i - 1] for a, b in out for i in range(a, b + 1)]
-        extra = []
-        for i, line in enumerate(low, 1):
-            own = [t for t in asked if t in line]
-            if own and not any(a <= i <= b for a, b in out) and score(line, own) > max((score(k, own) for k in kept), default=(0, 0)):
-                extra.append((score(line, own), -i))
-        if not extra:
+    low = [x.lower() for x in lines.text]
+    asked = tuple(t.lower() for t in terms if t)
+    spots = [(a, max(a, b)) for a, b in ranges if 1 <= a <= len(lines)]
+    if not spots:
+        best = max(range(len(lines)), key=lambda i: (_support(low[i], asked), -i)) + 1
+        spots = [(best, best)]
+    wide = sorted((max(1, a - BEFORE), min(len(lines), b + AFTER)) for a, b in spots)
+    steps = list(accumulate(wide, _joined, initial=[]))[1:]
+    used = lambda kept: sum(lines.size(*w) for w in kept)
+    # a single window may be larger than the budget, as long as nothing is joined to it
+    out = list(takewhile(lambda kept: len(kept) <= most and (kept == [wide[0]] or used(kept) <= budget), steps))[-1]
+    if not ranges or not asked:
+        return out
+    held = [low[i - 1] for a, b in out for i in range(a, b + 1)]
+    served = [(_support(x, asked), i) for i, x in enumerate(low, 1) if not any(a <= i <= b for a, b in out)]
+    left = budget - used(out)
+    for (n, _), i in sorted(served, key=lambda s: (-s[0][0], -s[0][1], s[1])):
+        own = tuple(t for t in asked if t in low[i - 1])
+        if not n or len(out) == most:
             break
-        at = -max(extra)[1]
-        if used + cost(at, at) > budget:
+        if _support(low[i - 1], own) <= max(_support(x, own) for x in held):
+            continue
+        left -= lines.size(i, i)
+        if left < 0:
             break
-        out = sorted([*out, (at, at)])
-        used += cost(at, at)
+        held.append(low[i - 1])
+        out = sorted([*out, (i, i)])
     return out
 
 
 def anchors(text: str, terms: list[str], most: int = ANCHORS) -> list[tuple[int, list[str]]]:
     """(line, terms it covers first): lines that cover all terms with few lines, at most ``most``."""
-    low = text.lower().split("\n")
+    low = [x.lower() for x in Lines(text).text]
     hits = {i: {t: x.count(t) for t in terms if t in x} for i, x in enumerate(low, 1)}
     open_ = {t for h in hits.values() for t in h}
     out: list[tuple[int, list[str]]] = []
@@ -86,8 +107,8 @@ def source_windows(texts: DataFrame, key: str, text: str, ranges: str, terms: li
         for b in batches:
             rows = []
             for k, t, r in zip(*(b.column(c).to_pylist() for c in ("k", "t", "r"))):
-                lines = t.split("\n")
-                rows += [(k, a, e, "\n".join(lines[a - 1 : e])) for a, e in windows(t, terms, [(x["first"], x["last"]) for x in r or []])]
+                lines = Lines(t)
+                rows += [(k, a, e, lines.cut(a, e)) for a, e in windows(t, terms, [(x["first"], x["last"]) for x in r or []])]
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["k", "first_line", "last_line", "text"])
 

@@ -37,6 +37,16 @@ def source_windows(spark: SparkSession, d: str) -> DataFrame:
     return W.source_windows(s.withColumn("ranges", F.array(F.struct(mid.alias("first"), mid.alias("last")))), "id", "text", "ranges", TERMS)
 
 
+@query("declaration_windows", r"""with s as (select distinct id, text from sources where id is not null and text is not null and text <> ''), l as (select id, text, string_split(case when ends_with(text, chr(10)) then text[:-2] else text end, chr(10)) as lines, (len(text) - len(replace(text, chr(10), ''))) // 2 + 1 as mid from s),
+w as (select *, strlen(text) <= 8192 as small, case when mid <= len(lines) then mid else 1 end as spot from l), x as (select id, text, lines, small, case when small then 1 else greatest(1, spot - 8) end as a, case when small then len(lines) else least(len(lines), spot + 24) end as b from w)
+select id, a::bigint as first_line, b::bigint as last_line, array_to_string(lines[a:b], chr(10)) as text from x""")
+def declaration_windows(spark: SparkSession, d: str) -> DataFrame:
+    """As source_windows, without terms."""
+    s = V.sources(spark, d).where("text is not null").select("id", "text").distinct()
+    mid = F.floor(F.regexp_count("text", F.lit("\n")) / 2) + 1
+    return W.source_windows(s.withColumn("ranges", F.array(F.struct(mid.alias("first"), mid.alias("last")))), "id", "text", "ranges", [])
+
+
 @query("term_anchors")
 def term_anchors(spark: SparkSession, d: str) -> DataFrame:
     return W.term_anchors(V.sources(spark, d).where("text is not null").select("id", "text").distinct(), "id", "text", TERMS)

@@ -154,12 +154,14 @@ def decision_authority(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("name", R.decision(1, F.lit(0), F.lit(False), F.col("n_matches"), F.lit(1)).alias("decision"))
 
 
-@query("json_score")
+@query("json_score", rf"""with l as (select record_id, lower(json_extract_string(t.atom, '$')) as v, regexp_extract(regexp_replace(t.fullkey, '(\[\d+\])+$', ''), '([^.\]]+)$', 1) as key from (select distinct record_id, body::json as j from work_records where json_valid(body)) b, json_tree(b.j) t where t.type = 'VARCHAR'), w as (select record_id, case when key in ('symbolIdentity', 'compilerCallableId', 'compilerClassId', 'ownerIdentity') then 16 when key in ('path', 'file', 'fileId', 'relativePath', 'sourcePath') then 8 when key in ('name', 'declarationKind') then 6 when key in ('sourceSet', 'module', 'provider', 'schema') then 0 else 1 end * (contains(v, 'antenna')::int + contains(v, 'java')::int + contains(v, 'service')::int) as n from l)
+select distinct r.record_id, coalesce(s.n, 0)::bigint as score from work_records r left join (select record_id, sum(n) as n from w group by record_id) s using (record_id)""")
 def json_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "work_records").select("record_id", J.weighted_score(F.col("body"), ["antenna", "java", "service"]).alias("score")).distinct()
 
 
-@query("json_strings")
+@query("json_strings", r"""with b as (select distinct manifest_id, body from publication_manifests), l as (select distinct manifest_id, body, json_extract_string(t.atom, '$') as v from (select manifest_id, body, body::json as j from b where json_valid(body)) b, json_tree(b.j) t where t.type = 'VARCHAR')
+select manifest_id, case when json_valid(body) then coalesce((select list_sort(list(v)) from l where l.manifest_id = b.manifest_id and l.body = b.body and not regexp_full_match(v, 'sha256:[0-9a-f]{64}')), []) end as strings from b""")
 def json_strings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "publication_manifests").select("manifest_id", J.json_strings("body").alias("strings")).distinct()
 

@@ -20,6 +20,10 @@ def test_windows():
     assert W.windows(text, [], []) == [(1, 100)]
     assert w([(50, 52)]) == [(42, 76)] and w([(20, 21), (30, 30)]) == [(12, 54)] and w([], ["needle"]) == [(82, 100)] and w([(500, 501)]) == [(1, 25)]
     assert w([(10, 10)], ["needle"]) == [(2, 34), (90, 90)] and w([(5, 5), (45, 45)], most=1) == [(1, 29)] and w([(5, 5), (60, 60)], budget=300) == [(1, 29)]
+    assert W.windows("a\nb\n", [], []) == [(1, 2)] and W.windows("", [], [(1, 1)]) == [] and W.windows("a\nb\n", [], [(2, 2)], whole=1) == [(1, 2)]
+    assert W.Lines("a\n\nb\n").size(1, 3) == 4 and len(W.Lines("\n")) == 1 and W.Lines("é\nb").size(1, 1) == 2
+    assert w([(5, 5), (60, 60)], budget=len("\n".join(text.split("\n")[:29]))) == [(1, 29)] and w([(40, 60)], budget=3) == [(32, 84)]
+    assert w([(10, 10)], ["needle", "line"], budget=10**6) == [(2, 34), (90, 90)]
     assert W.anchors("a\nb a\nc", ["a", "b", "c", "z"]) == [(2, ["a", "b"]), (3, ["c"])] and W.anchors("", ["a"]) == []
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -136,14 +137,21 @@ def test_hunks():
     rnd = random.Random(8)
     for _ in range(60):
         a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 9))] for _ in range(2))
+        end = rnd.choice(["", "\n", "\r\n"])
+        old, new = "\n".join(a), "\r\n".join(b) + end
         for cells in (10**6, 0):
-            got, more = D.line_hunks("\n".join(a), "\n".join(b), cells)
-            a2, b2 = "\n".join(a).splitlines(), "\n".join(b).splitlines()
+            got, how = D.line_hunks(old, new, cells)
+            a2, b2 = re.findall("[^\n]*\n|[^\n]+", old), re.findall("[^\n]*\n|[^\n]+", new)
             out, at = [], 0
             for ol, on, nl, nn in got:
                 out += a2[at : ol - 1] + b2[nl - 1 : nl - 1 + nn]
                 at = ol - 1 + on
-            assert out + a2[at:] == b2 and not more
+            assert out + a2[at:] == b2 and how == ("LINES" if cells else "COARSE_REPLACEMENT")
+    assert D.line_hunks("a\r\nb\r\n", "a\nb\n") == ([(1, 2, 1, 2)], "LINES") and D.line_hunks("a\u2028b", "a\u2028c") == ([(1, 1, 1, 1)], "LINES")
+    assert D.line_hunks("x\n" * 9 + "a\n", "x\n" * 9) == ([(10, 1, 10, 0)], "LINES") and D.line_hunks(None, "a") == ([(1, 0, 1, 1)], "LINES")
+    many = "".join(f"{i}\n" for i in range(200))
+    assert D.line_hunks(many, many.replace("5\n", "x\n"), hunks=3) == ([(6, 191, 6, 191)], "COARSE_REPLACEMENT")
+    assert D.line_hunks("\n" * 300_000, "\n" * 300_001) == ([(1, 300_000, 1, 300_001)], "COARSE_REPLACEMENT")
 
 
 def test_graphs(spark):
