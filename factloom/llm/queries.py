@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import leaks, packing, pieces, prose, spans
@@ -43,6 +43,37 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "sources"))
 
 
+P2_REBUILT = "select id as source_id, sha256(any_value(text)) as digest, true as fits, true as overlaps, true as continued from sources where id is not null and strlen(text) > 8192 group by id"
+
+
+def p2_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of a text give when put together without their overlaps, and whether all keep to the rules."""
+    p = p2_pieces(spark, sf_dir)
+    own = Window.partitionBy("source_id").orderBy("piece")
+    p = p.withColumn("before", F.coalesce(F.lag("endByte").over(own), F.lit(0))).withColumn("next", F.lead("startByte").over(own))
+    fresh = F.encode("text", "UTF-8").substr((F.col("before") - F.col("startByte") + 1).cast("int"), (F.col("endByte") - F.col("before")).cast("int"))
+    fits = (F.col("endByte") - F.col("startByte") <= pieces.LIMIT) & (F.octet_length("text") == F.col("endByte") - F.col("startByte"))
+    overlaps = F.col("startByte").between(F.col("before") - pieces.OVERLAP, F.col("before"))
+    continued = F.when(F.col("next").isNull(), F.col("nextCursor").isNull()).otherwise(F.contains("nextCursor", F.concat(F.lit(":"), F.col("next").cast("string"), F.lit(":"))))
+    rows = p.select("source_id", "piece", F.hex(fresh).alias("fresh"), fits.alias("fits"), overlaps.alias("overlaps"), continued.alias("continued"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "fresh"))), lambda x: x["fresh"]), "")
+    return rows.groupBy("source_id").agg(F.sha2(F.unhex(joined), 256).alias("digest"), F.bool_and("fits").alias("fits"), F.bool_and("overlaps").alias("overlaps"), F.bool_and("continued").alias("continued"))
+
+
+P6_PLACED = "select distinct doc_id, true as whole, true as fits from documents where doc_id is not null and text <> ''"
+
+
+def p6_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each text is there once with all its tokens, in parts only above the capacity, in containers that are not overfull."""
+    placed = p6_containers(spark, sf_dir).where("container_id is not null")
+    used = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    sizes = packing.token_counts(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("n_tokens").alias("size"))
+    own = placed.join(used, "container_id").groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("parts"), F.max("part").alias("last"), F.max("used").alias("used"))
+    need = F.ceil(F.col("size") / packing.CAPACITY)
+    whole = (F.col("tokens") == F.col("size")) & (F.col("parts") == need) & (F.col("last") == need - 1)
+    return sizes.where("size > 0").join(own, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"), F.coalesce(F.col("used") <= packing.CAPACITY, F.lit(False)).alias("fits"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -78,8 +109,8 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_without_pairs": p1_without_pairs, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_stats": p8_stats, "p8_counts": p8_counts}
+    return {"p1_found": p1_found, "p1_without_pairs": p1_without_pairs, "p1_summary": p1_summary, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_placed": p6_placed, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_stats": p8_stats, "p8_counts": p8_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_without_pairs": P1_FOUND, "p1_summary": P1_SUMMARY, "p2_found": P2_FOUND, "p8_counts": P8_COUNTS}
+    return {"p1_found": P1_FOUND, "p1_without_pairs": P1_FOUND, "p1_summary": P1_SUMMARY, "p2_found": P2_FOUND, "p2_rebuilt": P2_REBUILT, "p6_placed": P6_PLACED, "p8_counts": P8_COUNTS}
