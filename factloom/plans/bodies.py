@@ -73,7 +73,9 @@ def joined_paths_of_values(spark: SparkSession, d: str) -> DataFrame:
     return D.join_paths(paths, ["k"]).select("k", "storage", "kind", "definition")
 
 
-@query("outlines")
+@query("outlines", r"""with recursive s as (select distinct service || '/' || file as owner, id, start_byte as a, end_byte as b from sources where service is not null and file is not null and id is not null and start_byte is not null and end_byte > start_byte), o as (select *, row_number() over (partition by owner order by a, b desc, id) as i from s),
+p as (select o.owner, o.id, o.i, max(x.i) as up from o left join o x on x.owner = o.owner and x.i < o.i and x.b >= o.b group by all), d(owner, i, depth) as (select owner, i, 0 from p where up is null union all select p.owner, p.i, depth + 1 from d join p on p.owner = d.owner and p.up = d.i)
+select p.owner, p.id, q.id as parent, depth::int as depth, (row_number() over (partition by p.owner, p.up order by p.i) - 1)::int as ordinal from p join d on d.owner = p.owner and d.i = p.i left join o q on q.owner = p.owner and q.i = p.up""")
 def outlines(spark: SparkSession, d: str) -> DataFrame:
     """Nesting of the records of a file by their byte ranges."""
     s = table(spark, d, "sources").where("service is not null and file is not null and id is not null and start_byte is not null and end_byte > start_byte")
@@ -132,7 +134,8 @@ def influence_scopes(spark: SparkSession, d: str) -> DataFrame:
     return L.verified_scopes(s, "service", "content", "digest").select("service", "digest")
 
 
-@query("support_fields")
+@query("support_fields", r"""with r as (select distinct record_id, body from work_records), o as (select *, case when json_valid(body) then body::json end as j from r), k as (select record_id, case when json_type(j) = 'OBJECT' then j end as j from o)
+select record_id, json_extract_string(j, '$.kind') as kind, case when json_extract_string(j, '$.kind') = 'FRAGMENT' then json_extract_string(j, '$.reference') end as reference, case when json_extract_string(j, '$.kind') = 'FRAGMENT' then (list_contains(json_keys(j), 'kind')::int + list_contains(json_keys(j), 'reference')::int) end as n_fields from k""")
 def support_fields(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "work_records").select("record_id", F.get_json_object("body", "$.kind").alias("kind"), "body").distinct()
     return L.whitelisted(r, "kind", "body", {"FRAGMENT": ["kind", "reference"]}).select("record_id", "kind", F.element_at("fields", "reference").alias("reference"), F.size(F.map_keys("fields")).alias("n_fields"))

@@ -139,7 +139,10 @@ def difference_codes(spark: SparkSession, d: str) -> DataFrame:
     return M.difference_codes(pairs, codes).select("o_custkey", "code")
 
 
-@query("shape_field_diff")
+@query("shape_field_diff", r"""with m as (select distinct manifest_id, repository, written_at, body from publication_manifests), p as (select *, lag(body) over (partition by repository order by written_at) as before from m),
+g as (select manifest_id, body::json as a, before::json as b from p where json_valid(body) and json_valid(before)), o as (select * from g where json_type(a) = 'OBJECT' and json_type(b) = 'OBJECT'),
+k as (select manifest_id, a, b, unnest(list_distinct(list_concat(json_keys(a), json_keys(b)))) as key from o), d as (select manifest_id, key from k where json_extract_string(a, '$."' || key || '"') is distinct from json_extract_string(b, '$."' || key || '"') or list_contains(json_keys(a), key) <> list_contains(json_keys(b), key))
+select o.manifest_id, list_sort(coalesce(list(key) filter (key is not null), [])) as fields from o left join d using (manifest_id) group by o.manifest_id""")
 def shape_field_diff(spark: SparkSession, d: str) -> DataFrame:
     """Fields that differ between the bodies of a manifest and the one before it in its repository."""
     from pyspark.sql import Window
@@ -375,19 +378,24 @@ def page_by_bytes(spark: SparkSession, d: str) -> DataFrame:
     return G.page(items, "source", "doc_id", "size", item_bytes=4096, page_bytes=12288)
 
 
-@query("all_pages")
+@query("all_pages", r"""with recursive i as (select source, doc_id, strlen(text) as size, row_number() over (partition by source order by doc_id) as no from documents where source is not null and text is not null), f(source, no, page, taken, used) as (select source, 0::bigint, 0, 0, 0::bigint from i where no = 1
+ union all select i.source, i.no, case when full_ then page + 1 else page end, case when full_ then 1 else taken + 1 end, case when full_ then 0 else used end + case when x.size <= 49152 then x.size else 0 end from (select f.*, i.size, taken = 20 or (size <= 49152 and used + size > 57344 and taken > 0) as full_, i.no as next from f join i on i.source = f.source and i.no = f.no + 1) x join i on i.source = x.source and i.no = x.next)
+select i.source, doc_id, page::bigint as page, case when i.size <= 49152 then 'SENT' else 'OMITTED' end as state from f join i on i.source = f.source and i.no = f.no""")
 def all_pages(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "documents").where("source is not null and text is not null").select("source", "doc_id", F.octet_length("text").alias("size"))
     return G.pages(items, "source", "doc_id", "size")
 
 
-@query("skip_fit")
+@query("skip_fit", r"""with recursive i as (select source, doc_id, strlen(text) as size, row_number() over (partition by source order by doc_id) as no from documents where source is not null and text is not null), f(source, no, room, taken) as (select source, 0::bigint, 8192::bigint, false from i where no = 1 union all select i.source, i.no, case when size <= room then room - size else room end, size <= room from f join i on i.source = f.source and i.no = f.no + 1)
+select i.source, doc_id, size from f join i on i.source = f.source and i.no = f.no where taken""")
 def skip_fit(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "documents").where("source is not null and text is not null").select("source", "doc_id", F.octet_length("text").alias("size"))
     return G.skip_fit(items, "source", ["doc_id"], "size", 8192)
 
 
-@query("byte_parts")
+@query("byte_parts", r"""with recursive t as (select distinct id, text from sources where id is not null and text is not null and text <> ''), h as (select id, hex(encode(text)) as h, strlen(text) as n from t),
+p(id, part, a, b) as (select id, 0, 0::bigint, 0::bigint from h union all select h.id, part + 1, b, case when b + 4096 >= n then n when not substr(h, 2 * (b + 4096) + 1, 1) between '8' and 'B' then b + 4096 when not substr(h, 2 * (b + 4095) + 1, 1) between '8' and 'B' then b + 4095 when not substr(h, 2 * (b + 4094) + 1, 1) between '8' and 'B' then b + 4094 else b + 4093 end from p join h on h.id = p.id where b < n)
+select id, part::int as part, a::int as start_byte, b::int as end_byte from p where part > 0""")
 def byte_parts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "sources").where("id is not null and text is not null").select("id", "text").distinct()
     return G.byte_ranges(t, "id", "text", 4096)

@@ -58,7 +58,8 @@ def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
     return G.bfs(V.edges(spark, d).select("source", "target"), roots, 3)
 
 
-@query("flow_slice")
+@query("flow_slice", fr"""with recursive {EDGES_SQL}, r(node, depth) as (select 'c1', 0 union select target, depth + 1 from r join edges on source = node where depth < 4), b as (select node, min(depth) as depth from r group by node), near as (select node, row_number() over (order by depth, node) as position from b),
+held as (select * from near where position <= 200), e as (select source, target, position, case when target in (select node from held) then 'RESOLVED' else 'BOUNDARY' end as status from edges join held on node = source) select source, target, status from e order by position, target limit 400""")
 def flow_slice(spark: SparkSession, d: str) -> DataFrame:
     """Edges reached from one customer within the limits of a flow."""
     return G.slice_from(V.edges(spark, d), "c1", depth=4, nodes=200, max_edges=400)[1]
@@ -272,7 +273,10 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return N.duplicate_keys(table(spark, d, "publications"), ["id"])
 
 
-@query("branch_check")
+@query("branch_check", r"""with s as (select user_id::varchar as owner, row_number() over (partition by user_id order by ts, event_id) - 1 as ordinal, event_type, value, props from events), k as (select owner, ordinal, case event_type when 'click' then 'IF' when 'view' then 'ELSE' when 'purchase' then 'END' else 'CALL' end as kind, props from s), d as (select *, coalesce(sum(case kind when 'IF' then 1 when 'END' then -1 else 0 end) over (partition by owner order by ordinal rows between unbounded preceding and 1 preceding), 0) as outer_ from k),
+l as (select *, case kind when 'IF' then outer_ + 1 when 'ELSE' then outer_ end as level from d), q as (select *, (select arg_max(x.kind, x.ordinal) from l x where x.owner = l.owner and x.level = l.level and x.ordinal < l.ordinal) as before_ from l),
+p as (select owner, ordinal, case when kind = 'IF' and trim(coalesce(props, '')) = '' then 'IF_CONDITION_MISSING' when kind = 'ELSE' and (outer_ <= 0 or coalesce(before_, '') <> 'IF') then 'ELSE_WITHOUT_OPEN_IF_OR_DUPLICATE_ELSE' when kind = 'END' and outer_ <= 0 then 'END_WITHOUT_OPEN_IF' end as problem from q),
+f as (select owner, arg_min(problem, ordinal) as problem from p where problem is not null group by owner) select owner, problem from f union all select owner, 'IF_WITHOUT_END' from k where owner not in (select owner from f) group by owner having sum(case kind when 'IF' then 1 when 'END' then -1 else 0 end) > 0""")
 def branch_check(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "IF").when(F.col("event_type") == "view", "ELSE").when(F.col("event_type") == "purchase", "END").otherwise("CALL")
     return N.branches(_steps(spark, d).select("owner", "ordinal", kind.alias("kind"), F.col("props").alias("text")), "owner")
@@ -309,7 +313,9 @@ def mermaid_graph(spark: SparkSession, d: str) -> DataFrame:
     return mermaid(nodes, edges)
 
 
-@query("flow_trees")
+@query("flow_trees", r"""with s as (select user_id::varchar as owner, row_number() over (partition by user_id order by ts, event_id) - 1 as ordinal, event_type, value, props from events), k as (select owner, ordinal, event_type as label, case event_type when 'click' then 'IF' when 'purchase' then 'END' else 'ACTION' end as kind from s), a as (select *, sum(case kind when 'IF' then 1 when 'END' then -1 else 0 end) over (partition by owner order by ordinal) as total from k),
+b as (select *, total - least(min(total) over (partition by owner order by ordinal), 0) as depth from a), c as (select *, coalesce(lag(depth) over (partition by owner order by ordinal), 0) as before_ from b)
+select owner, string_agg(repeat('  ', before_::int) || case when kind = 'IF' then '[D] if (' || label || ') then' else label end, chr(10) order by ordinal) as tree from c where kind <> 'END' group by owner""")
 def flow_trees(spark: SparkSession, d: str) -> DataFrame:
     from factloom.sources.render import flow_tree
 

@@ -50,7 +50,9 @@ def index_problems(spark: SparkSession, d: str) -> DataFrame:
     return P.check_index(P.postings(V.texts(spark, d)))
 
 
-@query("index_shards")
+@query("index_shards", fr"""with recursive {TERMS_SQL}, ranked as (select *, row_number() over (partition by term order by fact_key, lane) as place from terms), s as (select substr(sha256(term), 1, 2) as bucket, term, count(*) as n, sum(strlen(fact_key) + strlen(lane)) as size from ranked where place <= 1024 group by all),
+o as (select *, row_number() over (partition by bucket order by term) as i from s), f(bucket, i, shard, used) as (select bucket, i, 0, size from o where i = 1 union all select o.bucket, o.i, case when used + size > 65536 then shard + 1 else shard end, case when used + size > 65536 then size else used + size end from f join o on o.bucket = f.bucket and o.i = f.i + 1)
+select o.bucket, shard::bigint as shard, min(term) as first_term, max(term) as last_term, sum(n)::bigint as postings, sum(size)::bigint as bytes from o join f on f.bucket = o.bucket and f.i = o.i group by o.bucket, shard""")
 def index_shards(spark: SparkSession, d: str) -> DataFrame:
     return P.pack_shards(P.postings(V.texts(spark, d)), 64 * 1024)
 
@@ -171,6 +173,27 @@ def canonical_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "publication_manifests").select("manifest_id", J.canonical_digest("body").alias("digest")).distinct()
 
 
+FORM_SQL = """select p_partkey, '{"a":[' || p_size || ',{"b":"' || p_name || '","z":null}],"k":{"q":true},"n":"é"}' as form from part"""
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    """JSON of parts with keys out of order, white space, an escape and members that say where it was found."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", F.concat(F.lit('{"n": "\\u00e9", "file": "x", "k":\n{"start": [1, 2], "q" :true, "end":{"q":1}}, "a" : [ '), F.col("p_size").cast("string"), F.lit(', {"z":null,"orderKey":7 , "b":"'), "p_name", F.lit('"} ], "sourceProvenance":{"a":1}}')).alias("j"))
+
+
+@query("stripped_forms", FORM_SQL)
+def stripped_forms(spark: SparkSession, d: str) -> DataFrame:
+    return _forms(spark, d).select("p_partkey", J.strip_source("j").alias("form"))
+
+
+@query("canonical_forms", """select p_partkey, f as form, 'sha256:' || sha256(f) as digest, null::varchar as twice from (select p_partkey, '{"a":[' || p_size || ',{"b":"' || p_name || '","orderKey":7,"z":null}],"file":"x","k":{"end":{"q":1},"q":true,"start":[1,2]},"n":"é","sourceProvenance":{"a":1}}' as f from part)""")
+def canonical_forms(spark: SparkSession, d: str) -> DataFrame:
+    forms = _forms(spark, d)
+    twice = F.replace("j", F.lit('"file": "x"'), F.lit('"n": "x"'))
+    return forms.select("p_partkey", J.canonical_json("j").alias("form"), J.canonical_digest("j").alias("digest"), J.canonical_json(twice).alias("twice"))
+
+
 @query("strip_source")
 def strip_source(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "work_records").select("record_id", J.strip_source("body").alias("body")).distinct()
@@ -246,13 +269,15 @@ def descriptors(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", "descriptor", T.valid_descriptor("descriptor").alias("valid"), T.descriptor_parameters("descriptor").alias("parameters"))
 
 
-@query("byte_previews")
+@query("byte_previews", r"""with t as (select doc_id, text, hex(encode(text)) as h from documents where text is not null), c as (select *, case when strlen(text) <= 2048 then strlen(text) when not substr(h, 4097, 1) between '8' and 'B' then 2048 when not substr(h, 4095, 1) between '8' and 'B' then 2047 when not substr(h, 4093, 1) between '8' and 'B' then 2046 else 2045 end as n from t)
+select doc_id, decode(unhex(substr(h, 1, 2 * n))) as preview, strlen(text) > 2048 as truncated from c""")
 def byte_previews(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").where("text is not null")
     return t.select("doc_id", T.byte_prefix("text", 2048).alias("preview"), (F.octet_length("text") > 2048).alias("truncated"))
 
 
-@query("line_numbers")
+@query("line_numbers", r"""with s as (select distinct id, text from sources where id is not null and text is not null), p as (select id, regexp_replace(substr(hex(encode(text)), 1, 2 * (strlen(text) // 2)), '(..)', '\1 ', 'g') as pairs from s)
+select id, ((len(pairs) - len(replace(pairs, '0A ', ''))) // 3 + 1)::int as line from p""")
 def line_numbers(spark: SparkSession, d: str) -> DataFrame:
     """The line in each text where its second half begins, by bytes."""
     s = V.sources(spark, d).where("text is not null").select("id", "text").distinct()
