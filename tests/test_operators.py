@@ -266,3 +266,43 @@ def test_joins_of_hot_keys(spark):
     assert sorted(tuple(r) for r in join_hot(many, few, ["k"]).select("k", "v", "x", "n").collect()) == want
     assert join_hot(many, few, ["k"], "left").count() == 300 and join_hot(many, few, ["k"], "left_anti").count() == 1
     assert join_counted(many, few.where("false"), ["k"], "n").count() == 0
+
+
+def test_pages_over_blocks(spark):
+    from factloom.operators import paging as G
+
+    rnd = random.Random(4)
+    rows = [(g, i, rnd.choice([0, 1, 3, 8, 20, 90])) for g, n in (("a", 83), ("b", 1), (None, 9), ("c", 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, o int, s int")
+
+    def plain(sizes, limit=5, item=50, room=30):
+        page, taken, used, out = 0, 0, 0, []
+        for s in sizes:
+            if taken == limit or (s <= item and used + s > room and taken):
+                page, taken, used = page + 1, 0, 0
+            taken += 1
+            used += s if s <= item else 0
+            out.append((page, "SENT" if s <= item else "OMITTED"))
+        return out
+
+    want = sorted((str(g), o, *x) for g in {r[0] for r in rows} for (_, o, _), x in zip([r for r in rows if r[0] == g], plain([r[2] for r in rows if r[0] == g])))
+    for block in (5, 7, 4096):
+        assert sorted((str(r["g"]), *tuple(r)[1:]) for r in G.pages(df, "g", "o", "s", 5, 50, 30, block).collect()) == want
+
+
+def test_skip_fit_over_rounds(spark):
+    from factloom.operators import paging as G
+
+    rnd = random.Random(6)
+    rows = [(g, i, rnd.choice([None, 0, 1, 3, 8, 20, 90])) for g, n in (("a", 83), ("b", 1), (None, 9), ("c", 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, o int, s int")
+    want = []
+    for g in {r[0] for r in rows}:
+        room = 60
+        for r in rows:
+            if r[0] == g and r[2] is not None and r[2] <= room:
+                room -= r[2]
+                want.append(r)
+    for at_once in (1, 3, 8192):
+        assert sorted(map(repr, map(tuple, G.skip_fit(df, "g", ["o"], "s", 60, at_once).collect()))) == sorted(map(repr, want))
+    assert G.skip_fit(df.where("false"), "g", ["o"], "s", 60).count() == 0 and G.pages(df.where("false"), "g", "o", "s").count() == 0
