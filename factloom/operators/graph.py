@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from factloom.runtime import stage
 
 DEPTH, NODES, EDGES = 32, 4096, 8192
+#: After so many rounds what they added is written as one table.
+ROUNDS = 8
 
 
 def bfs(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -24,7 +28,7 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
         front = stage(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "front")
         if not front.limit(1).count():
             break
-        seen = stage(seen.unionByName(front), "seen") if d % 8 == 0 else seen.unionByName(front)
+        seen = stage(seen.unionByName(front), "seen") if d % ROUNDS == 0 else seen.unionByName(front)
     return seen
 
 
@@ -65,37 +69,45 @@ def plan_update(parent: DataFrame, current: DataFrame, edges: DataFrame, path: s
 
 def outcome_masks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, mask): for each node the bits of the outcomes (node, bit) it can reach."""
-    mask = seeds.groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("mask"))
-    mask = stage(mask, "mask")
-    front = mask
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("mask")
+    log = front = stage(seeds.groupBy("node").agg(bits), "mask")
     back = stage(edges.select("source", "target").distinct(), "edges").select(F.col("target").alias("node"), F.col("source").alias("caller"))
-    while True:
+    total = lambda rows: rows.groupBy("node").agg(F.bit_or("mask").alias("mask"))
+    for k in itertools.count(1):
         came = front.join(back, "node").groupBy(F.col("caller").alias("node")).agg(F.bit_or("mask").alias("more"))
-        joined = stage(mask.join(came, "node", "full_outer").select("node", F.coalesce("mask", F.lit(0)).alias("old"), F.coalesce("mask", F.lit(0)).bitwiseOR(F.coalesce("more", F.lit(0))).alias("mask")), "mask")
-        front = joined.where("mask <> old").select("node", "mask")
-        mask = joined.select("node", "mask")
+        known = total(log.join(came.select("node"), "node", "left_semi")).withColumnRenamed("mask", "old")
+        grown = came.join(known, "node", "left").withColumn("mask", F.coalesce("old", F.lit(0)).bitwiseOR(F.col("more"))).where("old is null or mask <> old")
+        front = stage(grown.select("node", "mask"), "front")
         if not front.limit(1).count():
-            return mask
+            return total(log)
+        log = log.unionByName(front)
+        if k % ROUNDS == 0:
+            log = stage(total(log), "mask")
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
-    """(node, level): the longest chain before a node; level is null for nodes on or behind a cycle."""
+    """(node, level): the longest chain before a node; level is null for nodes on or behind a cycle.
+
+    A node is due once as many of its edges have come from placed nodes as lead to it; a round reads the edges of the
+    nodes placed last, and only the counts of what these lead to.
+    """
+    links = stage(edges.where("source is not null and target is not null").select("source", "target").distinct(), "edges")
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).where("node is not null").distinct()
-    left = stage(edges.where("source is not null and target is not null").select("source", "target").distinct(), "edges")
-    todo = stage(nodes, "nodes")
-    done = None
-    level = 0
-    while True:
-        free = todo.join(left.select(F.col("target").alias("node")), "node", "left_anti")
-        free = stage(free.withColumn("level", F.lit(level)), "level")
-        if not free.limit(1).count():
+    wanted = stage(nodes.join(links.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("want")), "node", "left").select("node", F.coalesce("want", F.lit(0)).alias("want")), "nodes")
+    front = stage(wanted.where("want = 0").select("node", F.lit(0).alias("level")), "level")
+    done, came = front, None
+    for level in itertools.count(1):
+        now = front.join(links, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n"))
+        now = stage(now, "came")
+        if not now.limit(1).count():
             break
-        done = free if done is None else done.unionByName(free)
-        todo = stage(todo.join(free.select("node"), "node", "left_anti"), "nodes")
-        left = stage(left.join(free.select(F.col("node").alias("source")), "source", "left_anti"), "edges")
-        level += 1
-    rest = todo.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+        came = now if came is None else came.unionByName(now)
+        if level % ROUNDS == 0:
+            came = stage(came.groupBy("node").agg(F.sum("n").alias("n")), "came")
+        due = came.join(now.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n")).join(wanted, "node").where("n = want")
+        front = stage(due.select("node", F.lit(level).alias("level")), "level")
+        done = done.unionByName(front)
+    return wanted.select("node").join(done, "node", "left")
 
 
 def components_mutual(edges: DataFrame) -> DataFrame:

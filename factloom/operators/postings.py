@@ -28,6 +28,19 @@ def postings(facts: DataFrame, per_term: int = PER_TERM) -> DataFrame:
     return ranked.select(T.term_bucket("term").alias("bucket"), "term", "lane", "fact_key", F.col("place").cast("int"))
 
 
+INDEX_DDL = "bucket string, term string, lane string, fact_key string, place int, shard string"
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Writes postings by the first digit of their bucket, each part sorted by term, so that a lookup reads few row groups of few parts."""
+    rows = index.withColumn("shard", F.substring("bucket", 1, 1))
+    rows.repartitionByRange("shard", "term").sortWithinPartitions("shard", "term", "place").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX_DDL).parquet(path)
+
+
 def overflow_terms(facts: DataFrame, per_term: int = PER_TERM) -> DataFrame:
     """Terms with more facts than the index keeps, and how many."""
     return term_rows(facts).groupBy("term").agg(F.count("*").alias("n_facts")).where(F.col("n_facts") > per_term)
@@ -36,17 +49,25 @@ def overflow_terms(facts: DataFrame, per_term: int = PER_TERM) -> DataFrame:
 def term_table(spark: SparkSession, terms: list[str]) -> DataFrame:
     if len(terms) > QUERY_TERMS:
         raise ValueError(f"a query has at most {QUERY_TERMS} terms")
-    rows = spark.createDataFrame([(t,) for t in terms] or [], "raw string")
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, terms)).cast("array<string>")).alias("raw"))
     asked = rows.select(F.explode(T.normal_terms(F.array("raw"))).alias("term")).distinct()
     return asked
 
 
 def lookup(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of each asked term or of its alias without underscores; buckets prune what is read."""
-    asked = terms.select("term", F.col("term").alias("key"), F.lit(0).alias("by_alias")).unionByName(
-        terms.select("term", T.query_alias("term").alias("key"), F.lit(1).alias("by_alias")).where("key is not null")
-    )
-    asked = asked.withColumn("bucket", T.term_bucket("key"))
+    """Postings of each asked term or of its alias without underscores.
+
+    A query has QUERY_TERMS terms at most, so what they and their aliases are goes into the scan as values: a written
+    index is read by shard and by term.
+    """
+    asked = terms.select("term", F.explode(F.array(F.struct(F.col("term").alias("key"), F.lit(0).alias("by_alias")), F.struct(T.query_alias("term").alias("key"), F.lit(1).alias("by_alias")))).alias("k"))
+    asked = asked.select("term", "k.key", "k.by_alias").where("key is not null").withColumn("bucket", T.term_bucket("key")).limit(2 * QUERY_TERMS + 1).toArrow()
+    if asked.num_rows > 2 * QUERY_TERMS:
+        raise ValueError(f"a query has at most {QUERY_TERMS} terms")
+    if "shard" in index.columns:
+        index = index.where(F.col("shard").isin(sorted({b[:1] for b in asked["bucket"].to_pylist()}))).drop("shard")
+    index = index.where(F.col("term").isin(sorted(set(asked["key"].to_pylist()))))
+    asked = index.sparkSession.createDataFrame(asked)
     hits = asked.join(index.withColumnRenamed("term", "key"), ["bucket", "key"])
     return hits.groupBy("term", "lane", "fact_key").agg(F.min("by_alias").alias("by_alias"))
 

@@ -303,7 +303,7 @@ def closed_schema_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("mermaid_graph", """with l as (select 0 as part, '' as key, 'flowchart LR' as line union all select 1, 'n' || n_nationkey, '  n' || n_nationkey || '["' || n_name || '"]' from nation union all select 1, 'r' || r_regionkey, '  r' || r_regionkey || '["' || r_name || '"]' from region
- union all select 2, 'r' || n_regionkey || '>n' || n_nationkey, '  r' || n_regionkey || case when n_nationkey > 12 then ' -.->|' else ' -->|' end || '"has"| n' || n_nationkey from nation) select string_agg(line, chr(10) order by part, key, line) as diagram from l""")
+ union all select 2, 'r' || n_regionkey || '>n' || n_nationkey, '  r' || n_regionkey || case when n_nationkey > 12 then ' -.->|' else ' -->|' end || '"has"| n' || n_nationkey from nation) select row_number() over (order by part, key, line) - 1 as line_no, line from l""")
 def mermaid_graph(spark: SparkSession, d: str) -> DataFrame:
     from factloom.sources.render import mermaid
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from factloom.operators import postings as P
 from factloom.operators import ranking as R
 from factloom.plans import views as V
 from factloom.plans.views import FACTS_SQL, SOURCES_SQL, TERMS_SQL
-from factloom.runtime import table
+from factloom.runtime import shared_dir, table
 
 ASKED = ["session", "queue", "trackSession", "report", "frontier", "no_such_term"]
 ASKED_SQL = "asked as (select unnest(['session', 'queue', 'tracksession', 'report', 'frontier', 'no_such_term']) as term)"
@@ -45,16 +47,28 @@ def term_overflow(spark: SparkSession, d: str) -> DataFrame:
     return P.overflow_terms(V.texts(spark, d), 100)
 
 
+def written(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the contexts, written once for each state of their table and read from then on."""
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/contexts.parquet")
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = f"{fs.makeQualified(source)} {fs.getContentSummary(source).getLength()} {fs.getFileStatus(source).getModificationTime()}"
+    path = f"{shared_dir(spark)}/index/{hashlib.sha256(state.encode()).hexdigest()[:32]}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        P.write_index(P.postings(V.texts(spark, d)), path)
+    return P.read_index(spark, path)
+
+
 @query("index_problems", "select '' as term, '' as fact_key, 0 as place, '' as problem where false")
 def index_problems(spark: SparkSession, d: str) -> DataFrame:
-    return P.check_index(P.postings(V.texts(spark, d)))
+    return P.check_index(written(spark, d))
 
 
 @query("index_shards", fr"""with recursive {TERMS_SQL}, ranked as (select *, row_number() over (partition by term order by fact_key, lane) as place from terms), s as (select substr(sha256(term), 1, 2) as bucket, term, count(*) as n, sum(strlen(fact_key) + strlen(lane)) as size from ranked where place <= 1024 group by all),
 o as (select *, row_number() over (partition by bucket order by term) as i from s), f(bucket, i, shard, used) as (select bucket, i, 0, size from o where i = 1 union all select o.bucket, o.i, case when used + size > 65536 then shard + 1 else shard end, case when used + size > 65536 then size else used + size end from f join o on o.bucket = f.bucket and o.i = f.i + 1)
 select o.bucket, shard::bigint as shard, min(term) as first_term, max(term) as last_term, sum(n)::bigint as postings, sum(size)::bigint as bytes from o join f on f.bucket = o.bucket and f.i = o.i group by o.bucket, shard""")
 def index_shards(spark: SparkSession, d: str) -> DataFrame:
-    return P.pack_shards(P.postings(V.texts(spark, d)), 64 * 1024)
+    return P.pack_shards(written(spark, d), 64 * 1024)
 
 
 @query("index_key_counts", f"with {TERMS_SQL} select count(distinct term) as terms, count(distinct lane) as lanes, count(distinct fact_key) as facts, count(*) as postings from terms")
@@ -70,12 +84,12 @@ hits as (select a.term, k.lane, k.fact_key, min(by_alias)::int as by_alias from
 
 @query("multi_term_lookup", f"{LOOKUP_SQL} select term, lane, fact_key, by_alias from hits")
 def multi_term_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return P.lookup(P.postings(V.texts(spark, d)), P.term_table(spark, ASKED))
+    return P.lookup(written(spark, d), P.term_table(spark, ASKED))
 
 
 @query("unmatched_terms", f"{LOOKUP_SQL} select term from asked where term not in (select term from hits)")
 def unmatched_terms(spark: SparkSession, d: str) -> DataFrame:
-    return P.unmatched(P.postings(V.texts(spark, d)), P.term_table(spark, ASKED))
+    return P.unmatched(written(spark, d), P.term_table(spark, ASKED))
 
 
 @query("expanded_terms", f"with {ASKED_SQL} select term from asked union select 'signal' union select 'kiln'")
@@ -85,7 +99,7 @@ def expanded_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fair_selection")
 def fair_selection(spark: SparkSession, d: str) -> DataFrame:
-    return P.fair_selection(P.lookup(P.postings(V.texts(spark, d)), P.term_table(spark, ASKED)), 48)
+    return P.fair_selection(P.lookup(written(spark, d), P.term_table(spark, ASKED)), 48)
 
 
 @query("family_turns", """with f as (select distinct text_digest as fact_key, service as lane, regexp_replace(text_digest, ':[0-9a-f]{64}$', '') as family from sources where text_digest is not null and service is not null),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import escape_html
+from factloom.operators.ordering import number_within
 
 
 def _lines(rows: DataFrame, keys: list[str], order: list[str], line: str, out: str) -> DataFrame:
@@ -15,12 +16,13 @@ def _lines(rows: DataFrame, keys: list[str], order: list[str], line: str, out: s
 
 
 def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(diagram): nodes (id, label), then edges (source, target, label, authority), dashed where the authority is unknown."""
+    """(line_no, line): nodes (id, label), then edges (source, target, label, authority), dashed where the authority is unknown."""
     n = nodes.select(F.lit(1).alias("part"), F.col("id").alias("key"), F.concat(F.lit("  "), "id", F.lit('["'), escape_html("label"), F.lit('"]')).alias("line"))
     arrow = F.when(F.col("authority") == "UNKNOWN", " -.->|").otherwise(" -->|")
     e = edges.select(F.lit(2).alias("part"), F.concat_ws(">", "source", "target").alias("key"), F.concat(F.lit("  "), "source", arrow, F.lit('"'), escape_html("label"), F.lit('"| '), "target").alias("line"))
     head = nodes.sparkSession.createDataFrame([(0, "", "flowchart LR")], "part int, key string, line string")
-    return _lines(head.unionByName(n).unionByName(e), [], ["part", "key"], "line", "diagram")
+    numbered = number_within(head.unionByName(n).unionByName(e).withColumn("diagram", F.lit(1)), ["diagram"], ["part", "key", "line"], "line_no")
+    return numbered.select("line_no", "line")
 
 
 def _one_line(c: Column) -> Column:

@@ -232,7 +232,7 @@ def test_trees_and_diagrams(spark):
     assert render.flow_tree(df, "owner").collect()[0]["tree"].split("\n") == ["[D] if (a b) then", "  x", "else", "  return 1", "... (not established: why)"]
     nodes = spark.createDataFrame([("a", "<A>")], "id string, label string")
     edges = spark.createDataFrame([("a", "a", "l", "UNKNOWN")], "source string, target string, label string, authority string")
-    assert render.mermaid(nodes, edges).collect()[0]["diagram"] == 'flowchart LR\n  a["&lt;A&gt;"]\n  a -.->|"l"| a'
+    assert [r["line"] for r in render.mermaid(nodes, edges).orderBy("line_no").collect()] == ["flowchart LR", '  a["&lt;A&gt;"]', '  a -.->|"l"| a']
 
 
 def test_syntax():
