@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.ordering import join_hot
 from factloom.runtime import stage
 
 DEPTH, NODES, EDGES = 32, 4096, 8192
@@ -48,6 +49,15 @@ def slice_from(edges: DataFrame, root: str, depth: int = DEPTH, nodes: int = NOD
     return near, out.orderBy("position", "target").limit(max_edges).select("source", "target", "status")
 
 
+def linked(calls: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(source, target, status, linked): calls (source, target, name) LINKED to the one declaration (name, declaration) of their
+    name; AMBIGUOUS for several, UNRESOLVED for none."""
+    n = declarations.groupBy("name").agg(F.count_distinct("declaration").alias("n"), F.min("declaration").alias("one"))
+    out = join_hot(calls, n, ["name"], "left")
+    status = F.when(F.col("n").isNull(), "UNRESOLVED").when(F.col("n") == 1, "LINKED").otherwise("AMBIGUOUS")
+    return out.select("source", "target", status.alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("linked"))
+
+
 def reverse_closure(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(node, depth): what depends on changed nodes, themselves included, without a limit.
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import bodies, evidence, graphs, index, structure
+from factloom.plans import bodies, evidence, graphs, index, scopes, structure
 
-MODULES = [index, evidence, graphs, bodies, structure]
+MODULES = [index, evidence, graphs, bodies, scopes, structure]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

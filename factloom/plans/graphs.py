@@ -65,6 +65,10 @@ def flow_slice(spark: SparkSession, d: str) -> DataFrame:
     return G.slice_from(V.edges(spark, d), "c1", depth=4, nodes=200, max_edges=400)[1]
 
 
+def flow_slice_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return G.slice_from(V.edges(spark, d), "c1", depth=4, nodes=200, max_edges=400)[0]
+
+
 @query("reverse_closure", f"""with recursive {PARENTS_SQL}, r(node) as (select distinct 'P' || id from publications where documentation_language = 'ru' union select target from r join tree on source = node) select node from r""")
 def reverse_closure(spark: SparkSession, d: str) -> DataFrame:
     changed = table(spark, d, "publications").where("documentation_language = 'ru'").select(F.concat(F.lit("P"), "id").alias("node")).distinct()
