@@ -355,6 +355,38 @@ def contract_documents(spark: SparkSession, d: str) -> DataFrame:
     return operations(docs, "file", "text")
 
 
+def _yaml_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts of brands in YAML, that refer to each other's parts, themselves and a common document."""
+    head, tail = "openapi: 3.0.3\npaths:\n", "components:\n  parameters:\n    q: {name: q, in: query, schema: {$ref: '#/components/schemas/S'}}\n  schemas:\n    S: {type: object, properties: {self: {$ref: '#/components/schemas/S'}, gone: {$ref: '#/components/schemas/Gone'}}}\n"
+    paths = table(spark, d, "part").select("p_brand", F.replace("p_type", F.lit(" "), F.lit("/")).alias("t")).distinct()
+    one = F.concat(F.lit("  /parts/"), "t", F.lit(":\n    get:\n      operationId: get\n      parameters:\n        - $ref: '#/components/parameters/q'\n      responses:\n        '200': {$ref: '../common.yaml#/ok'}\n        '400': {$ref: 'https://example.org/e.yaml#/x'}\n"))
+    docs = paths.groupBy("p_brand").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(one)), ""), F.lit(tail)).alias("text"))
+    docs = docs.select(F.concat(F.lit("api/"), "p_brand").alias("file"), "text")
+    return docs.unionByName(spark.createDataFrame([("common.yaml", "ok:\n  description: fine\n"), ("broken.yaml", "a: [1"), ("empty.yaml", "")], "file string, text string"))
+
+
+@query("yaml_operations", """select distinct 'api/' || p_brand as file, 'GET' as method, '/parts/' || replace(p_type, ' ', '/') as path, '/parts/' || replace(p_type, ' ', '/') as path_key, 'get' as operation_id, ['query:q'] as parameters from part""")
+def yaml_operations(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.sources.openapi import operations
+
+    return operations(_yaml_contracts(spark, d), "file", "text")
+
+
+@query("contract_states", """select distinct 'api/' || p_brand as file, 'DECLARED_OPENAPI' as status from part union select 'common.yaml', 'REGISTERED_REFERENCE_DOCUMENT' union select 'broken.yaml', 'INVALID_CONTRACT_JSON_YAML' union select 'empty.yaml', 'CONTRACT_SOURCE_UNAVAILABLE'""")
+def contract_states(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.sources.openapi import documents
+
+    return documents(_yaml_contracts(spark, d), "file", "text").select("file", "status")
+
+
+@query("contract_references", """with o as (select distinct 'api/' || p_brand as file, '/parts/' || replace(p_type, ' ', '/') as path from part), r as (select unnest(['#/components/parameters/q', '#/components/schemas/S', '#/components/schemas/Gone', 'common.yaml#/ok', 'https://example.org/e.yaml#/x']) as ref, unnest(['RESOLVED', 'RESOLVED', 'MISSING', 'RESOLVED', 'EXTERNAL']) as status)
+select file, 'GET' as method, path, case when starts_with(ref, '#') then file || ref else ref end as reference, status from o, r""")
+def contract_references(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.sources.openapi import references
+
+    return references(_yaml_contracts(spark, d), "file", "text")
+
+
 @query("symbols_of_sources")
 def symbols_of_sources(spark: SparkSession, d: str) -> DataFrame:
     from factloom.sources.syntax import symbols

@@ -306,3 +306,21 @@ def test_skip_fit_over_rounds(spark):
     for at_once in (1, 3, 8192):
         assert sorted(map(repr, map(tuple, G.skip_fit(df, "g", ["o"], "s", 60, at_once).collect()))) == sorted(map(repr, want))
     assert G.skip_fit(df.where("false"), "g", ["o"], "s", 60).count() == 0 and G.pages(df.where("false"), "g", "o", "s").count() == 0
+
+
+def test_contracts_in_json_and_yaml(spark):
+    from factloom.sources import openapi as O
+
+    docs = [
+        ("a/o.yaml", "openapi: 3.0.3\npaths:\n  /x/{id}:\n    parameters: [{$ref: '#/components/parameters/id'}]\n    post:\n      requestBody: {$ref: '#/components/schemas/A'}\n    get: {}\ncomponents:\n  parameters: {id: {name: id, in: path}}\n  schemas:\n    A: {properties: {b: {$ref: '../b.json#/B'}}}\n"),
+        ("b.json", '{"B": {"deep": [{"$ref": "#/C"}, {"$ref": "a/o.yaml#/components/schemas/A"}]}, "C": {"$ref": "#/none"}}'),
+        ("list", "[1]"), ("bad", "{"), ("none", None), (None, "openapi: 3\n"),
+    ]
+    df = spark.createDataFrame(docs, "file string, text string")
+    assert {r["file"]: r["status"] for r in O.documents(df, "file", "text").collect() if r["file"]} == {"a/o.yaml": "DECLARED_OPENAPI", "b.json": "REGISTERED_REFERENCE_DOCUMENT", "list": "INVALID_CONTRACT_JSON_YAML", "bad": "INVALID_CONTRACT_JSON_YAML", "none": "CONTRACT_SOURCE_UNAVAILABLE"}
+    assert sorted((r["method"], r["path_key"], r["parameters"]) for r in O.operations(df, "file", "text").collect()) == [("GET", "/x/{}", ["path:id"]), ("POST", "/x/{}", ["path:id"])]
+    got = {(r["method"], r["reference"], r["status"]) for r in O.references(df, "file", "text").collect()}
+    want = {("a/o.yaml#/components/schemas/A", "RESOLVED"), ("b.json#/B", "RESOLVED"), ("b.json#/C", "RESOLVED"), ("b.json#/none", "MISSING")}
+    assert got == {("POST", *x) for x in want}
+    assert {r["status"] for r in O.references(df, "file", "text", depth=0).collect()} == {"RESOLVED", "BEYOND_DEPTH"}
+    assert O.references(df.where("false"), "file", "text").count() == 0
