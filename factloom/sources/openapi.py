@@ -105,7 +105,7 @@ def operations(docs: DataFrame, file: str, text: str) -> DataFrame:
     Parameters of the operation come before those of its path; of one name and place its own counts.
     Documents that can't be read give none; ``documents`` says which they are.
     """
-    body = documents(docs, file, text).where("status = 'DECLARED_OPENAPI'").withColumnRenamed("file", file)
+    body = documents(docs, file, text).where("body is not null").withColumnRenamed("file", file)
     doc = F.from_json("body", "struct<paths:map<string,map<string,string>>>")
     rows = body.select(file, F.explode(doc["paths"]).alias("path", "item")).select(file, "path", F.from_json(F.element_at("item", "parameters"), _PARAMETER).alias("shared"), F.explode("item").alias("method", "op"))
     rows = rows.where(F.lower("method").isin(*_METHODS))
