@@ -283,8 +283,8 @@ def _members(found: Relations) -> DataFrame:
     own (``own``: its number) or inlined; ``up_row`` is the row that holds the fragment it stands in and ``up`` the column of its id there."""
     kinds = [*LINKS, "source"]
     values = lambda c: F.filter(F.map_keys("cols"), lambda k: k.rlike(c))
-    starts = F.transform(values(r"^occurrence\.startByte(#\d+)?$"), lambda k: F.element_at("cols", k))
-    above = F.regexp_extract("path", r"^(?:(.*)\.)?[^.]*$", 1)
+    starts = F.when(F.col("table_name") == "source", F.transform(values(r"^occurrence\.startByte(#\d+)?$"), lambda k: F.element_at("cols", k)))
+    above = F.when(F.contains("path", F.lit(".")), F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)).otherwise("")
     up = F.when(above != "", F.concat(above, F.lit(".id"))).otherwise("id")
     inside = F.when(above != "", above.rlike(r"(^|\.)fragment$")).otherwise(F.col("parent_table") == "fragment")
     name = F.coalesce(F.element_at("cols", "id"), F.element_at("cols", VALUE))
@@ -306,11 +306,13 @@ def links(found: Relations) -> DataFrame:
     """(record_id, parent_id, link, child_id) of the documentation records: nested fragments, their source
     and dependency ids, and the start bytes of sources; distinct rows."""
     members = _members(found)
-    holder = found.rows.select(F.col("record_id").alias("h_record"), F.col("row_no").alias("up_row"), "cols")
+    holds = found.tables is not None and {*LINKS, "source"} <= found.tables  # then only fragments hold what is linked, by their own id
+    holder = found.rows.where(F.col("table_name") == "fragment") if holds else found.rows
+    holder = holder.select(F.col("record_id").alias("h_record"), F.col("row_no").alias("up_row"), *([F.element_at("cols", "id").alias("up_name")] if holds else ["cols"]))
     kind = F.create_map(*[F.lit(x) for kv in LINKS.items() for x in kv])
     hung = members.where(F.col("kind") != "source").withColumn("link", F.element_at(kind, F.col("kind")))
     inner = hung.where("up_row is not null").join(holder, (F.col("record_id") == F.col("h_record")) & (hung["up_row"] == holder["up_row"]))
-    inner = inner.select("record_id", F.element_at("cols", F.col("up")).alias("parent_id"), "link", F.col("name").alias("child_id"))
+    inner = inner.select("record_id", (F.col("up_name") if holds else F.element_at("cols", F.col("up"))).alias("parent_id"), "link", F.col("name").alias("child_id"))
     outer = hung.where("up_row is null and link = 'FRAGMENT'").select("record_id", F.col("record_id").alias("parent_id"), "link", F.col("name").alias("child_id"))
     spots = members.where(F.col("kind") == "source").select("record_id", F.col("name").alias("parent_id"), F.lit("OCCURRENCE").alias("link"), F.explode("start").alias("child_id")).withColumn("child_id", _digits(F.col("child_id")))
     return inner.unionByName(outer).unionByName(spots).where("parent_id is not null and child_id is not null").distinct()
