@@ -148,10 +148,11 @@ def analyse(edges: list[tuple[str, str, bool, bool, int]]) -> Schema:
     return schema
 
 
-ROW_DDL = "record_id string, table_name string, row_no int, parent_table string, parent_row int, path string, ordinal int, cols map<string,string>"
+#: ``name`` is the column id or the value of a row, once more for quick reading.
+ROW_DDL = "record_id string, table_name string, row_no int, parent_table string, parent_row int, path string, ordinal int, name string, cols map<string,string>"
 _MAP = pa.map_(pa.string(), pa.string())
-_TYPES = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), _MAP)
-_ROW_NAMES = ["record_id", "table_name", "row_no", "parent_table", "parent_row", "path", "ordinal", "cols"]
+_TYPES = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), _MAP)
+_ROW_NAMES = ["record_id", "table_name", "row_no", "parent_table", "parent_row", "path", "ordinal", "name", "cols"]
 
 
 def _text(v: object) -> str:
@@ -211,7 +212,7 @@ def _row_batches(tables: set[str] | None):
             for key, body in zip(b.column("key").to_pylist(), b.column("body").to_pylist()):
                 v = read_record(body)
                 for t, no, pt, pr, path, at, cols in flatten(v, tables) if v is not None else ():
-                    for col, x in zip(out, (key, _clean(t), no, None if pt is None else _clean(pt), pr, _clean(path), at, list(cols.items()))):
+                    for col, x in zip(out, (key, _clean(t), no, None if pt is None else _clean(pt), pr, _clean(path), at, cols.get("id", cols.get(VALUE)), list(cols.items()))):
                         col.append(x)
                 if len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES)], names=_ROW_NAMES)
@@ -279,40 +280,50 @@ LINKS = {"fragment": "FRAGMENT", "sourceId": "SOURCE", "dependencyId": "DEPENDEN
 
 
 def _members(found: Relations) -> DataFrame:
-    """(record_id, kind, name, own, up_row, up, start): each fragment, source id, dependency id and source, in a row of its
-    own (``own``: its number) or inlined; ``up_row`` is the row that holds the fragment it stands in and ``up`` the column of its id there."""
-    kinds = [*LINKS, "source"]
-    values = lambda c: F.filter(F.map_keys("cols"), lambda k: k.rlike(c))
-    starts = F.when(F.col("table_name") == "source", F.transform(values(r"^occurrence\.startByte(#\d+)?$"), lambda k: F.element_at("cols", k)))
+    """(record_id, kind, name, up_row, up): each fragment, source id and dependency id, in a row of its own or inlined;
+    ``up_row`` is the row that holds the fragment it stands in and ``up`` the column of its id there."""
     above = F.when(F.contains("path", F.lit(".")), F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)).otherwise("")
     up = F.when(above != "", F.concat(above, F.lit(".id"))).otherwise("id")
     inside = F.when(above != "", above.rlike(r"(^|\.)fragment$")).otherwise(F.col("parent_table") == "fragment")
-    name = F.coalesce(F.element_at("cols", "id"), F.element_at("cols", VALUE))
-    own = found.rows.where(F.col("table_name").isin(kinds)).select("record_id", F.col("table_name").alias("kind"), name.alias("name"), F.when(inside, F.col("parent_row")).alias("up_row"), F.when(inside, up).alias("up"), starts.alias("start"))
-    inlined = [k for k in kinds if found.tables is not None and k not in found.tables]
-    if not inlined and found.tables is not None:
+    own = found.rows.where(F.col("table_name").isin(*LINKS)).select("record_id", F.col("table_name").alias("kind"), "name", F.when(inside, F.col("parent_row")).alias("up_row"), F.when(inside, up).alias("up"))
+    inlined = [k for k in LINKS if found.tables is None or k not in found.tables]
+    if not inlined:
         return own
-    # a type without a table, or single values where nothing has: columns of the row that holds it
-    end = rf"^((?:.*\.)?)({'|'.join(inlined or kinds)})(\.id)?(#\d+)?$"
-    rows = found.rows.withColumn("_k", F.explode(values(end)))
-    at, kind = F.regexp_extract("_k", end, 1), F.regexp_extract("_k", end, 2)
+    # a type without a table: columns of the row that holds it
+    end = rf"^((?:.*\.)?)({'|'.join(inlined)})(\.id)?(#\d+)?$"
+    rows = found.rows.withColumn("_k", F.explode(_keys(end)))
+    at = F.regexp_extract("_k", end, 1)
     above = F.regexp_replace(at, r"\.$", "")
     inside = F.when(above != "", above.rlike(r"(^|\.)fragment$")).otherwise(F.col("table_name") == "fragment")
-    starts = F.transform(F.filter(F.map_keys("cols"), lambda k: k.startswith(F.concat(at, F.lit("source.occurrence.startByte")))), lambda k: F.element_at("cols", k))
-    return own.unionByName(rows.select("record_id", kind.alias("kind"), F.element_at("cols", F.col("_k")).alias("name"), F.when(inside, F.col("row_no")).alias("up_row"), F.when(inside, F.concat(at, F.lit("id"))).alias("up"), starts.alias("start")))
+    return own.unionByName(rows.select("record_id", F.regexp_extract("_k", end, 2).alias("kind"), F.element_at("cols", F.col("_k")).alias("name"), F.when(inside, F.col("row_no")).alias("up_row"), F.when(inside, F.concat(at, F.lit("id"))).alias("up")))
+
+
+def _keys(pattern: str) -> Column:
+    return F.filter(F.map_keys("cols"), lambda k: k.rlike(pattern))
+
+
+def _spots(found: Relations) -> DataFrame:
+    """(record_id, name, start) of the sources of records."""
+    pick = lambda pattern: F.explode(F.transform(_keys(pattern), lambda k: F.element_at("cols", k))).alias("start")
+    own = found.rows.where(F.col("table_name") == "source").select("record_id", "name", pick(r"^occurrence\.startByte(#\d+)?$"))
+    if found.tables is not None and "source" in found.tables:
+        return own
+    held = found.rows.withColumn("_k", F.explode(_keys(r"(^|\.)source\.id(#\d+)?$")))
+    at = F.regexp_extract("_k", r"^(.*)id(#\d+)?$", 1)
+    starts = F.filter(F.map_keys("cols"), lambda k: k.startswith(F.concat(at, F.lit("occurrence.startByte"))))
+    return own.unionByName(held.select("record_id", F.element_at("cols", F.col("_k")).alias("name"), F.explode(F.transform(starts, lambda k: F.element_at("cols", k))).alias("start")))
 
 
 def links(found: Relations) -> DataFrame:
     """(record_id, parent_id, link, child_id) of the documentation records: nested fragments, their source
     and dependency ids, and the start bytes of sources; distinct rows."""
-    members = _members(found)
-    holds = found.tables is not None and {*LINKS, "source"} <= found.tables  # then only fragments hold what is linked, by their own id
-    holder = found.rows.where(F.col("table_name") == "fragment") if holds else found.rows
-    holder = holder.select(F.col("record_id").alias("h_record"), F.col("row_no").alias("up_row"), *([F.element_at("cols", "id").alias("up_name")] if holds else ["cols"]))
     kind = F.create_map(*[F.lit(x) for kv in LINKS.items() for x in kv])
-    hung = members.where(F.col("kind") != "source").withColumn("link", F.element_at(kind, F.col("kind")))
+    hung = _members(found).select("record_id", F.element_at(kind, F.col("kind")).alias("link"), "name", "up_row", "up")
+    holds = found.tables is not None and set(LINKS) <= found.tables  # then only fragments hold what is linked, by their own id
+    holder = found.rows.where(F.col("table_name") == "fragment") if holds else found.rows
+    holder = holder.select(F.col("record_id").alias("h_record"), F.col("row_no").alias("up_row"), *([F.col("name").alias("up_name")] if holds else ["cols"]))
     inner = hung.where("up_row is not null").join(holder, (F.col("record_id") == F.col("h_record")) & (hung["up_row"] == holder["up_row"]))
     inner = inner.select("record_id", (F.col("up_name") if holds else F.element_at("cols", F.col("up"))).alias("parent_id"), "link", F.col("name").alias("child_id"))
     outer = hung.where("up_row is null and link = 'FRAGMENT'").select("record_id", F.col("record_id").alias("parent_id"), "link", F.col("name").alias("child_id"))
-    spots = members.where(F.col("kind") == "source").select("record_id", F.col("name").alias("parent_id"), F.lit("OCCURRENCE").alias("link"), F.explode("start").alias("child_id")).withColumn("child_id", _digits(F.col("child_id")))
+    spots = _spots(found).select("record_id", F.col("name").alias("parent_id"), F.lit("OCCURRENCE").alias("link"), _digits(F.col("start")).alias("child_id"))
     return inner.unionByName(outer).unionByName(spots).where("parent_id is not null and child_id is not null").distinct()
