@@ -246,17 +246,19 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     The items are the query set: they are numbered and sent to the executors in blocks of ``block_items``, of which
     SCAN_BLOCKS share one scan of the documents, where each text is cut into words once.
     """
-    passages = stage(number_within(prepare_items(items, item_col, item_text).withColumn("one", F.lit(1)), ["one"], ["item_id"], "no"), "numbered")
+    passages = prepare_items(items, item_col, item_text)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     total = passages.count()
+    if total > block_items:
+        passages = stage(number_within(passages.withColumn("one", F.lit(1)), ["one"], ["item_id"], "no"), "numbered")
     ddl = "doc_id long, item_id long, words_in_order long, long_tile_share double"
     out = docs.sparkSession.createDataFrame([], ddl)
     step = block_items * SCAN_BLOCKS
     for first in range(0, total, step):
         blocks = []
         for lo in range(first, min(first + step, total), block_items):
-            mine = passages.where(F.col("no").between(lo, lo + block_items - 1)).collect()  # at most ``block_items`` rows
-            blocks.append(Block([(r["item_id"], list(r["words"])) for r in mine]))
+            mine = passages.where(F.col("no").between(lo, lo + block_items - 1)) if total > block_items else passages
+            blocks.append(Block([(r["item_id"], list(r["words"])) for r in mine.collect()]))  # at most ``block_items`` rows
         found = rows.mapInArrow(_scan(blocks, min_words), ddl)
         out = found if total <= step else out.unionByName(stage(found, "leaks"))
     return out.groupBy("doc_id", "item_id").agg(F.max("words_in_order").alias("words_in_order"), F.max("long_tile_share").alias("long_tile_share"))

@@ -294,7 +294,7 @@ def _hot_spans(hot: DataFrame, k: int, least: int, bits: int) -> DataFrame:
     classes = windows.groupBy("h", "wh").agg(F.min("mn").alias("lo"), F.max("mx").alias("hi"), F.min(F.struct("off", "cid", "j")).alias("one"), F.count("*").alias("n"))
     classes = stage(classes.where("lo <> hi").select("h", "wh", "one", "n"), "classes")
     # at most min_chars - K + 1 windows hold an anchor; a run of them is compared with the run of one other
-    met = stage(join_counted(windows, classes, ["h", "wh"], "n", by=["off", "cid", "j"]).select(*around, "wh", "j", F.col("one.off").alias("r_off"), F.col("one.cid").alias("r_cid"), (F.col("j") - F.col("one.j")).alias("d")), "met")
+    met = join_counted(windows, classes, ["h", "wh"], "n", by=["off", "cid", "j"]).select(*around, "wh", "j", F.col("one.off").alias("r_off"), F.col("one.cid").alias("r_cid"), (F.col("j") - F.col("one.j")).alias("d"))
     texts = alike.select(*around, "ctx")
     one = [F.col("off").alias("r_off"), F.col("cid").alias("r_cid"), F.col("ctx").alias("r_ctx")]
 
@@ -303,7 +303,7 @@ def _hot_spans(hot: DataFrame, k: int, least: int, bits: int) -> DataFrame:
         a, b = F.filter("js", lambda j: ~F.array_contains("js", j - 1)), F.filter("js", lambda j: ~F.array_contains("js", j + 1))
         return js.select(*keys, F.explode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("r")).select(*keys, F.col("r.a").alias("a"), F.col("r.b").alias("b"))
 
-    runs = runs_of(met, [*around, "r_off", "r_cid", "d"])
+    runs = stage(runs_of(met, [*around, "r_off", "r_cid", "d"]), "runs")
     ones = runs.groupBy("h", "r_off", "r_cid").agg(F.count("*").alias("m"))
     ones = stage(ones.join(texts.select("h", *one), ["h", "r_off", "r_cid"]), "ones")
     compared = join_counted(runs.join(texts, around), ones, ["h", "r_off", "r_cid"], "m", by=["off", "cid", "a"])
