@@ -82,17 +82,16 @@ def outcome_masks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("mask")
     log = front = stage(seeds.groupBy("node").agg(bits), "mask")
     back = stage(edges.select("source", "target").distinct(), "edges").select(F.col("target").alias("node"), F.col("source").alias("caller"))
-    total = lambda rows: rows.groupBy("node").agg(F.bit_or("mask").alias("mask"))
+    zero = F.lit(0).cast("long")
     for k in itertools.count(1):
-        came = front.join(back, "node").groupBy(F.col("caller").alias("node")).agg(F.bit_or("mask").alias("more"))
-        known = total(log.join(came.select("node"), "node", "left_semi")).withColumnRenamed("mask", "old")
-        grown = came.join(known, "node", "left").withColumn("mask", F.coalesce("old", F.lit(0)).bitwiseOR(F.col("more"))).where("old is null or mask <> old")
-        front = stage(grown.select("node", "mask"), "front")
+        came = front.join(back, "node").select(F.col("caller").alias("node"), F.col("mask").alias("more"), zero.alias("mask"))
+        both = came.unionByName(log.select("node", zero.alias("more"), "mask")).groupBy("node").agg(F.bit_or("more").alias("more"), F.bit_or("mask").alias("mask"))
+        front = stage(both.where(F.col("more").bitwiseAND(F.bitwise_not("mask")) != 0).select("node", F.col("more").bitwiseOR(F.col("mask")).alias("mask")), "front")
         if not front.limit(1).count():
-            return total(log)
+            return log.groupBy("node").agg(F.bit_or("mask").alias("mask"))
         log = log.unionByName(front)
         if k % ROUNDS == 0:
-            log = stage(total(log), "mask")
+            log = stage(log.groupBy("node").agg(F.bit_or("mask").alias("mask")), "mask")
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:

@@ -59,6 +59,12 @@ def written(spark: SparkSession, d: str) -> DataFrame:
     return P.read_index(spark, path)
 
 
+@query("index_write", f"with {TERMS_SQL}, ranked as (select *, row_number() over (partition by term order by fact_key, lane) as place from terms) select substr(sha256(term), 1, 1) as shard, count(*) as postings, count(distinct term) as terms from ranked where place <= 1024 group by 1")
+def index_write(spark: SparkSession, d: str) -> DataFrame:
+    """Writes the index, if it is not yet there, and says what its parts hold."""
+    return written(spark, d).groupBy("shard").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
+
+
 @query("index_problems", "select '' as term, '' as fact_key, 0 as place, '' as problem where false")
 def index_problems(spark: SparkSession, d: str) -> DataFrame:
     return P.check_index(written(spark, d))
