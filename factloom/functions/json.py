@@ -60,13 +60,13 @@ def canonical_digest(text: pd.Series) -> pd.Series:
     return _each(text, lambda v: "sha256:" + hashlib.sha256(canonical(v).encode("utf-8", "surrogatepass")).hexdigest())
 
 
-def strings_in(value: object) -> list[str]:
-    """Sorted distinct strings of a value that are no canonical digests."""
+def strings_in(value: object) -> list[str] | None:
+    """Sorted distinct strings of a value that are no canonical digests; null for values deeper than DEPTH or with more than STRINGS of them."""
     out, todo = set(), [(value, 0)]
     while todo:
         v, depth = todo.pop()
         if depth > DEPTH or len(out) > STRINGS:
-            raise ValueError("a payload is too deep or holds too many strings")
+            return None
         if isinstance(v, str):
             if not _DIGEST.match(v):
                 out.add(v)

@@ -19,6 +19,12 @@ def term_rows(facts: DataFrame, text_col: str = "texts") -> DataFrame:
     return facts.select("lane", "fact_key", F.explode(T.index_terms(small)).alias("term")).distinct()
 
 
+def left_out(facts: DataFrame, text_col: str = "texts", limit: int = PAYLOAD_BYTES) -> DataFrame:
+    """(lane, fact_key, payload, bytes, reason): payloads that the index leaves out, by their place in the fact from 0."""
+    each = facts.select("lane", "fact_key", F.posexplode(text_col).alias("payload", "_t"))
+    return each.select("lane", "fact_key", "payload", F.octet_length("_t").alias("bytes"), F.lit("PAYLOAD_TOO_LARGE").alias("reason")).where(F.col("bytes") > limit)
+
+
 def postings(facts: DataFrame, per_term: int = PER_TERM) -> DataFrame:
     """(bucket, term, lane, fact_key, place): the least ``per_term`` facts of each term.
 

@@ -106,9 +106,11 @@ def hashed_ledger(spark: SparkSession, d: str) -> DataFrame:
     return L.hashed(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
-@query("broken_ledger", "select 0::bigint as o_orderkey, 0::bigint as o_custkey, '' as o_orderstatus, '' as event_hash where false")
+@query("broken_ledger", """select o_orderkey, o_custkey, 'X' as o_orderstatus, 'sha256:' || sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') as event_hash from orders where o_orderkey % 50 = 0""")
 def broken_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return L.broken_hashes(hashed_ledger(spark, d), ["o_orderkey", "o_custkey", "o_orderstatus"])
+    """A ledger in which some states were changed after the fact."""
+    changed = F.when(F.col("o_orderkey") % 50 == 0, "X").otherwise(F.col("o_orderstatus"))
+    return L.broken_hashes(hashed_ledger(spark, d).withColumn("o_orderstatus", changed), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
 @query("replayed_journal", """with j as (select o_custkey as pack, o_orderkey as seq, case when o_orderstatus = 'F' then 'REMOVE' else 'ADD' end as op, o_orderpriority as manifest from orders), r as (select *, lag(op) over (partition by pack order by seq) as po, lag(manifest) over (partition by pack order by seq) as pm from j),

@@ -42,9 +42,9 @@ def term_postings(spark: SparkSession, d: str) -> DataFrame:
     return P.postings(V.texts(spark, d))
 
 
-@query("term_overflow", f"with {TERMS_SQL} select term, count(*) as n_facts from terms group by term having count(*) > 100")
+@query("term_overflow", f"with {TERMS_SQL} select term, count(*) as n_facts from terms group by term having count(*) > 20")
 def term_overflow(spark: SparkSession, d: str) -> DataFrame:
-    return P.overflow_terms(V.texts(spark, d), 100)
+    return P.overflow_terms(V.texts(spark, d), 20)
 
 
 def written(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +65,19 @@ def index_write(spark: SparkSession, d: str) -> DataFrame:
     return written(spark, d).groupBy("shard").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
 
 
-@query("index_problems", "select '' as term, '' as fact_key, 0 as place, '' as problem where false")
+@query("index_problems", f"""with {TERMS_SQL}, ranked as (select *, row_number() over (partition by term order by fact_key, lane) as place from terms), kept as (select * from ranked where place <= 1024)
+select term, fact_key, place::int as place, 'WRONG_BUCKET' as problem from kept where starts_with(term, 'q') union all select term, fact_key, (place + 2)::int, 'GAP' from kept where starts_with(term, 'k') and place = 1""")
 def index_problems(spark: SparkSession, d: str) -> DataFrame:
-    return P.check_index(written(spark, d))
+    """The index with terms of one letter put into another bucket, and those of another numbered from 3."""
+    moved = F.when(F.col("term").startswith("q"), F.concat(F.lit("x"), F.substring("bucket", 2, 1))).otherwise(F.col("bucket"))
+    later = F.when(F.col("term").startswith("k"), F.col("place") + 2).otherwise(F.col("place"))
+    return P.check_index(written(spark, d).drop("shard").withColumn("bucket", moved).withColumn("place", later))
+
+
+@query("index_left_out", "select source as lane, doc_id::varchar as fact_key, 1 as payload, strlen(text)::int as bytes, 'PAYLOAD_TOO_LARGE' as reason from documents where strlen(text) > 8192")
+def index_left_out(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select(F.col("source").alias("lane"), F.col("doc_id").cast("string").alias("fact_key"), F.array("lang", "text").alias("texts"))
+    return P.left_out(t, limit=8192)
 
 
 @query("index_shards", fr"""with recursive {TERMS_SQL}, ranked as (select *, row_number() over (partition by term order by fact_key, lane) as place from terms), s as (select substr(sha256(term), 1, 2) as bucket, term, count(*) as n, sum(strlen(fact_key) + strlen(lane)) as size from ranked where place <= 1024 group by all),
