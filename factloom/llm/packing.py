@@ -37,7 +37,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Numbers of groups that are tried; the plan with the fewest containers is taken.
 GROUPS = (16, 64)
 CAPACITY, LARGE_SHARE = 2048, 8
-PLAN_LIMIT = 500_000
+PLAN_LIMIT, CHUNK = 500_000, 1 << 16
 _encoders: dict[str, object] = {}
 
 
@@ -241,9 +241,11 @@ def pack_sizes(counts: DataFrame, capacity: int = CAPACITY, groups: tuple[int, .
     if len(ranges) <= PLAN_LIMIT:
         placed = some.mapInArrow(_placer(ranges), f"id {items.schema['id'].dataType.simpleString()}, part int, start long, size long, container long")
     else:
-        spark = items.sparkSession
-        rows = spark.createDataFrame([tuple(map(int, r)) for r in ranges], "r_size long, first long, many long, base long, per long")
-        placed = some.join(rows, (F.col("size") == F.col("r_size")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("first") + F.col("many")))
+        # a larger plan is a table; numbers are cut into chunks, so a size of any number of texts meets it in many tasks
+        cols = np.array(ranges, dtype=np.int64).reshape(-1, 5).T
+        rows = items.sparkSession.createDataFrame(pa.table(dict(zip(("size", "first", "many", "base", "per"), cols))))
+        rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first") / CHUNK), F.floor((F.col("first") + F.col("many") - 1) / CHUNK))))
+        placed = some.withColumn("chunk", F.floor(F.col("number") / CHUNK)).join(rows, ["size", "chunk"]).where((F.col("number") >= F.col("first")) & (F.col("number") < F.col("first") + F.col("many")))
         placed = placed.select("id", "part", "start", "size", (F.col("base") + F.floor((F.col("number") - F.col("first")) / F.col("per"))).alias("container"))
     none = items.where("size = 0").select("id", "part", "start", "size", F.lit(None).cast("long").alias("container"))
     return placed.unionByName(none).select("id", "part", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
