@@ -324,3 +324,31 @@ def test_contracts_in_json_and_yaml(spark):
     assert got == {("POST", *x) for x in want}
     assert {r["status"] for r in O.references(df, "file", "text", depth=0).collect()} == {"RESOLVED", "BEYOND_DEPTH"}
     assert O.references(df.where("false"), "file", "text").count() == 0
+
+
+def test_a_written_index_is_pruned(spark, tmp_path):
+    from factloom.operators import postings as P
+
+    facts = spark.createDataFrame([("l", f"f{i}", [f"term{i % 40} other", "queue"]) for i in range(200)], "lane string, fact_key string, texts array<string>")
+    index = P.postings(facts)
+    P.write_index(index, f"file://{tmp_path}/index")
+    read = P.read_index(spark, f"file://{tmp_path}/index")
+    asked = P.term_table(spark, ["term7", "queue", "gone"])
+    found = P.lookup(read, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [shard" in plan
+    assert "PushedFilters: [" in plan and "In(term" in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, P.lookup(index, asked).collect())) and found.count() == 205
+    assert [r["term"] for r in P.unmatched(read, asked).collect()] == ["gone"]
+    assert P.left_out(facts, limit=6).where("payload = 0").count() == 200
+
+
+def test_rounds_delete_their_predecessors(spark):
+    import os
+
+    from factloom import runtime
+
+    one = runtime.stage(spark.range(3).toDF("i"), "one")
+    two = runtime.restage(one.selectExpr("i + 1 as i"), one, "two")
+    assert not os.path.exists(one.staged_path.removeprefix("file://")) and [r["i"] for r in two.orderBy("i").collect()] == [1, 2, 3]
+    assert runtime.restage(two.select("i").where("i > 1"), two.select("i"), "three").count() == 2 and os.path.exists(two.staged_path.removeprefix("file://"))
