@@ -38,6 +38,15 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(_full(spark, sf_dir), asked).withColumnRenamed("kind", "record_kind")
 
 
+#: Places in a block where every row asks: of the rows that meet in a small block most are an ancestor and its descendant.
+ALL_BLOCK = 64
+
+
+def p3_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descendants of every record; ``p3_descendants`` has those of the rows that its SQL asks for."""
+    return hierarchy.descendants(_full(spark, sf_dir), F.lit(True), ALL_BLOCK).withColumnRenamed("kind", "record_kind")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "publication_manifests"))
 
@@ -80,7 +89,7 @@ tree as (select r.k, r.key, p.key as up from recs r join recs p on p.k = r.k and
 ring as (select k, key from walk where key = anc)"""
 #: Ancestors of each record with the rings cut.
 PATHS_SQL = f"""{RECORDS_SQL}, cut as (select * from tree where (k, key) not in (select k, key from ring)), ups(k, key, anc, dist) as (select k, key, key, 0 from recs union all select u.k, u.key, c.up, dist + 1 from ups u join cut c on c.k = u.k and c.key = u.anc)"""
-QUERIES = {"p5_found": p5_found, "p5_fragments": p5_fragments, "p5_sources": p5_sources, "p5_tables": p5_tables, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p4_found": p4_found, "p4_unified": p4_unified}
+QUERIES = {"p5_found": p5_found, "p5_fragments": p5_fragments, "p5_sources": p5_sources, "p5_tables": p5_tables, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p3_all_descendants": p3_all_descendants, "p4_found": p4_found, "p4_unified": p4_unified}
 _LIST = "case json_type({0}) when 'ARRAY' then from_json({0}, '[\"json\"]') when 'NULL' then [] else [{0}] end"
 NESTED_SQL = f"""raw as (select distinct record_id, case when json_type(body::json) = 'VARCHAR' then json_extract_string(body::json, '$')::json else body::json end as j from (select * from work_records where record_id is not null and json_valid(body))),
 top as (select record_id, json_extract(j, '$.record.fragment') as x, json_extract(j, '$.source') as s from raw),
@@ -101,6 +110,7 @@ select r.k as record_kind, r.node as node_id, pr.node as parent_id, root_id, dep
  case when (r.k, r.key) in (select k, key from ring) then 'ON_CYCLE' when (p.k, p.root_key) in (select k, key from ring) then 'LEADS_TO_CYCLE' when r.up is not null and t.up is null then 'ORPHAN_ROOT' else 'TREE' end as status
 from recs r join p on p.k = r.k and p.key = r.key join below b on b.k = r.k and b.anc = r.key left join tree t on t.k = r.k and t.key = r.key left join cut c on c.k = r.k and c.key = r.key left join recs pr on pr.k = c.k and pr.key = c.up""",
     "p3_descendants": f"with recursive {PATHS_SQL} select u.k as record_kind, a.node as node_id, n.node as descendant_id, dist::bigint as distance from ups u join recs a on a.k = u.k and a.key = u.anc join recs n on n.k = u.k and n.key = u.key where dist > 0 and {ASKED_SQL.format('a.node')}",
+    "p3_all_descendants": f"with recursive {PATHS_SQL} select u.k as record_kind, a.node as node_id, n.node as descendant_id, dist::bigint as distance from ups u join recs a on a.k = u.k and a.key = u.anc join recs n on n.k = u.k and n.key = u.key where dist > 0",
     "p5_found": f"with recursive {NESTED_SQL} select distinct record_id, parent_id, link, child_id from links where parent_id is not null and child_id is not null",
     "p5_fragments": f"""with recursive {NESTED_SQL} select record_id, case when parent_id = record_id then 'root' else 'fragment' end as parent_table, case when parent_id = record_id then 'record.fragment' else 'fragment' end as path,
  json_extract_string(f, '$.id') as id, json_extract_string(f, '$.subject') as subject, json_extract_string(f, '$.text') as text from own""",

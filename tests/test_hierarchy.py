@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import hierarchy as H
+from factloom.plans import catalog
+from tests.conftest import DATA
 
 DDL = "id string, parent string, loaded int, v int, up string, kind string, size int"
 
@@ -102,3 +105,11 @@ def test_spelling_of_parents(spark):
 def test_empty(spark):
     rings, full = build(spark, [])
     assert rings.count() == 0 and H.report(full).count() == 0
+
+
+def test_every_record_gets_its_descendants(spark):
+    queries = catalog.queries()
+    below = {(r["record_kind"], r["node_id"]): r["n_descendants"] for r in queries["p3_hierarchy"](spark, DATA).collect()}
+    got = queries["p3_all_descendants"](spark, DATA).collect()
+    assert Counter((r["record_kind"], r["node_id"]) for r in got) == Counter({n: k for n, k in below.items() if k})
+    assert len(got) == len({(r["record_kind"], r["node_id"], r["descendant_id"]) for r in got})
